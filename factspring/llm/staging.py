@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -34,7 +35,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     del df
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first may come while an event still holds the plan
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
     return spark.read.schema(schema).parquet(path)
 
 
