@@ -152,21 +152,22 @@ def _shingle_rows(words: int):
     return run
 
 
-def _linked(words: int, per_cent: int):
-    """Pairs whose full sets have the similarity; a text that recurs in neighbouring rows is cut once."""
+PAIR_SCHEMA = "a long, b long, common long, linked boolean"
+
+
+def _compared(words: int, per_cent: int):
+    """Size of the intersection of a pair's full sets, and whether they have the similarity; a text that recurs in neighbouring rows is cut once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for given in batches:
-            a, b = given.column("a").to_pylist(), given.column("b").to_pylist()
-            keep, known, known_set = [], None, np.zeros(0, U)
-            for i, (x, y) in enumerate(zip(utf8(given.column("text_a")), utf8(given.column("text_b")))):
+            common, linked, known, known_set = [], [], None, np.zeros(0, U)
+            for x, y in zip(utf8(given.column("text_a")), utf8(given.column("text_b"))):
                 if x != known:
                     known, known_set = x, shingle_sets([x], words)[0]
                 other = shingle_sets([y], words)[0]
-                common = len(np.intersect1d(known_set, other, assume_unique=True))
-                if 100 * common >= per_cent * (len(known_set) + len(other) - common):
-                    keep.append(i)
-            yield batch("a long, b long", [a[i] for i in keep], [b[i] for i in keep])
+                common.append(len(np.intersect1d(known_set, other, assume_unique=True)))
+                linked.append(100 * common[-1] >= per_cent * (len(known_set) + len(other) - common[-1]))
+            yield batch(PAIR_SCHEMA, given.column("a"), given.column("b"), common, linked)
 
     return run
 
@@ -224,22 +225,38 @@ def link_documents(docs: DataFrame, per_cent: int = SIMILARITY, words: int = WOR
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        return pairs.select("a", "b", "text_a", "text_b").mapInArrow(_linked(words, per_cent), "a long, b long")
+        return pairs.select("a", "b", "text_a", "text_b").mapInArrow(_compared(words, per_cent), PAIR_SCHEMA)
 
-    hub = bounded.groupBy("band").agg(F.max(F.struct((F.col("can") / F.col("n")).alias("share"), (-F.col("node")).alias("less"), "n", "can")).alias("h"))
+    # a group's centre shares most buckets with most documents, so it is compared first
+    weight = bounded.join(bounded.groupBy("band").agg(F.count("*").alias("c")), "band").groupBy("node").agg(F.sum("c").alias("weight"))
+    bounded = stage(bounded.join(weight, "node"), "weighted")
+    hub = bounded.groupBy("band").agg(F.max(F.struct("weight", (-F.col("node")).alias("less"), "n", "can")).alias("h"))
     hub = hub.select("band", (-F.col("h.less")).alias("node"), "h.n", "h.can")
     pairs = bounded.alias("x").join(hub.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.node") != F.col("y.node")) & possible("x", "y"))
     pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-    tested = stage(pairs.distinct(), "hub-pairs")
-    edges = stage(verified(tested), "hub-edges")
+    tested = stage(verified(stage(pairs.distinct(), "hub-pairs")), "hub-verified")
+    edges = tested.where("linked").select("a", "b")
     grouped = components(edges)
 
+    # Across components: |x & y| is at most min(|x & h|, |y & h|) for the shingles of the bucket's hub h, plus
+    # min of what each shares outside h with any candidate. Rows that no other component's row can meet go first.
+    of_hub = tested.select(F.col("a").alias("node"), F.col("b").alias("hub"), "common").union(tested.select("b", "a", "common")).groupBy("node", "hub").agg(F.max("common").alias("common"))
     labelled = bounded.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-    mixed = stage(labelled.join(mixed, "band"), "mixed")
-    cross = mixed.alias("x").join(mixed.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.component") < F.col("y.component")) & possible("x", "y"))
-    cross = cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    more = stage(verified(stage(cross, "cross-pairs")), "cross-edges")
+    span = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
+    mixed = labelled.join(span, "band").join(hub.select("band", F.col("node").alias("hub")), "band").join(of_hub, ["node", "hub"], "left")
+    inside = F.when(F.col("node") == F.col("hub"), F.col("n")).otherwise(F.coalesce("common", "can"))
+    outside = F.when(F.col("node") == F.col("hub"), F.lit(0)).otherwise(F.col("can") - F.coalesce("common", F.lit(0)))
+    mixed = stage(mixed.select("band", "node", "n", "can", "component", inside.alias("inside"), outside.alias("outside")), "mixed")
+    sizes = mixed.groupBy("band", "component").agg(F.count("*").alias("c"), F.max("inside").alias("i"), F.max("outside").alias("o"), F.min("n").alias("n"))
+    largest = sizes.groupBy("band").agg(F.max_by("component", F.struct("c", "component")).alias("largest"))
+    tops = sizes.join(largest, "band").groupBy("band", "largest").agg(*(f(F.when(F.col("component") != F.col("largest"), F.col(c))).alias(f"{c}_rest") for f, c in ((F.max, "i"), (F.max, "o"), (F.min, "n"))), *(f(c).alias(f"{c}_all") for f, c in ((F.max, "i"), (F.max, "o"), (F.min, "n"))))
+    top = lambda c: F.when(F.col("component") == F.col("largest"), F.col(f"{c}_rest")).otherwise(F.col(f"{c}_all"))
+    mixed = mixed.join(tops, "band").where((100 + per_cent) * (F.least("inside", top("i")) + F.least("outside", top("o"))) >= per_cent * (F.col("n") + F.greatest(top("n"), per_cent * F.col("n") / 100)))
+    mixed = stage(mixed.select("band", "node", "n", "can", "component", "inside", "outside"), "across")
+    near = F.expr(f"(100 + {per_cent}) * (least(x.inside, y.inside) + least(x.outside, y.outside)) >= {per_cent} * (x.n + y.n)")
+    cross = mixed.alias("x").join(mixed.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.component") < F.col("y.component")) & possible("x", "y") & near)
+    cross = cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    more = stage(verified(stage(cross, "cross-pairs")), "cross-verified").where("linked").select("a", "b")
     if more.limit(1).count():
         grouped = components(edges.union(more))
 
