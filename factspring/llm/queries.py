@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, near_dedup, packing, sharding, suffix_dedup, token_counts
+from . import bpe, chat, fingerprints, near_dedup, packing, sharding, suffix_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,13 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.link_documents(_table(spark, sf_dir, "documents"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return chat.digest_conversations(turns.union(own)).drop("error")
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_passages(_table(spark, sf_dir, "documents"))
 
@@ -43,6 +50,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_near_dedup": op4_near_dedup,
+    "op5_chat": op5_chat,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_packing": op7_packing,
     "op8_bpe": op8_bpe,
@@ -51,6 +59,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_chat": chat.digest_sql().replace("FROM turns", """FROM (SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))"""),
     "op10_fingerprints": """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS next_text FROM d),
