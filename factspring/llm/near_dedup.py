@@ -253,7 +253,8 @@ def link_documents(docs: DataFrame, per_cent: int = SIMILARITY, words: int = WOR
     top = lambda c: F.when(F.col("component") == F.col("largest"), F.col(f"{c}_rest")).otherwise(F.col(f"{c}_all"))
     mixed = mixed.join(tops, "band").where((100 + per_cent) * (F.least("inside", top("i")) + F.least("outside", top("o"))) >= per_cent * (F.col("n") + F.greatest(top("n"), per_cent * F.col("n") / 100)))
     mixed = stage(mixed.select("band", "node", "n", "can", "component", "inside", "outside"), "across")
-    near = F.expr(f"(100 + {per_cent}) * (least(x.inside, y.inside) + least(x.outside, y.outside)) >= {per_cent} * (x.n + y.n)")
+    mixed = mixed.join(mixed.groupBy("node").agg(F.collect_set("band").alias("bands")), "node")  # a node has ``bands`` of them at most
+    near = F.expr(f"(100 + {per_cent}) * (least(x.inside, y.inside) + least(x.outside, y.outside)) >= {per_cent} * (x.n + y.n) and array_min(array_intersect(x.bands, y.bands)) = x.band")  # a pair is made in one band
     cross = mixed.alias("x").join(mixed.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.component") < F.col("y.component")) & possible("x", "y") & near)
     cross = cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
     more = stage(verified(stage(cross, "cross-pairs")), "cross-verified").where("linked").select("a", "b")
