@@ -91,18 +91,15 @@ def certified_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALP
     """
     labels = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_quality"))
     good = measured.join(labels, F.col("doc_id") == F.col("_id")).where("_quality = 1").where(~base_failed())
-    rejected = {f"_{rule}_{cut}": F.sum((scores()[rule] >= cut).cast("long")) for rule, cuts in CUTOFFS.items() for cut in cuts}
-    counts = good.groupBy("stratum").agg(F.count("*").alias("n_good"), *[c.alias(k) for k, c in rejected.items()])
+    tries = [(rule, cut) for rule, cuts in CUTOFFS.items() for cut in cuts]
+    rejected = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(cut).alias("cut"), F.col(f"_{rule}_{cut}").alias("k")) for rule, cut in tries])
+    counts = good.groupBy("stratum").agg(F.count("*").alias("n_good"), *[F.sum((scores()[rule] >= cut).cast("long")).alias(f"_{rule}_{cut}") for rule, cut in tries])
     strata = counts.agg(F.count("*").alias("_strata"))  # one row
-    counts = stage(counts.crossJoin(F.broadcast(strata)), "label-counts")  # a row for each stratum
-    cuts = []
-    for rule, values in CUTOFFS.items():
-        sure = [binomial_tail(F.col("n_good"), F.col(f"_{rule}_{v}"), alpha / len(CUTOFFS)) <= F.lit(delta) / (F.col("_strata") * len(CUTOFFS)) for v in values]
-        best = F.lit(None).cast("int")
-        for v, ok in zip(values, sure):
-            best = F.when(ok, F.lit(v)).otherwise(best)  # counts grow with strictness, so the certified ones are the first
-        cuts.append(best.alias(f"cut_{rule}"))
-    return counts.select("stratum", "n_good", *cuts)
+    counts = counts.crossJoin(F.broadcast(strata)).select("stratum", "n_good", "_strata", F.explode(rejected).alias("t"))
+    counts = stage(counts.select("stratum", "n_good", "_strata", "t.*"), "label-counts")  # a row for each stratum and cutoff
+    sure = binomial_tail(F.col("n_good"), F.col("k"), alpha / len(CUTOFFS)) <= F.lit(delta) / (F.col("_strata") * len(CUTOFFS))
+    # counts grow with strictness, so the certified cutoffs of a sequence are its first ones
+    return counts.withColumn("sure", sure).groupBy("stratum", "n_good").agg(*[F.min(F.when(F.col("sure") & (F.col("rule") == rule), F.col("cut"))).alias(f"cut_{rule}") for rule in CUTOFFS])
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
