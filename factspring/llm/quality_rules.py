@@ -102,16 +102,28 @@ def certified_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALP
     return counts.withColumn("sure", sure).groupBy("stratum", "n_good").agg(*[F.min(F.when(F.col("sure") & (F.col("rule") == rule), F.col("cut"))).alias(f"cut_{rule}") for rule in CUTOFFS])
 
 
-def apply_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """Measures, ``base_failed``, ``kept`` and ``rejected_by`` (names of the rules) of every row, beside ``doc_id`` and ``stratum``."""
-    slim = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("stratum"), "text")
-    measured = stage(measures(slim).drop("text"), "measures")
-    cutoffs = certified_cutoffs(measured, labels, alpha, delta).withColumnRenamed("stratum", "_stratum")
+def _judged(docs: DataFrame, labels: DataFrame, alpha: float, delta: float, carried: list[str]) -> DataFrame:
+    """The columns ``carried`` (renamed, so that none clashes with a measure) and all measures and verdicts."""
+    slim = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("stratum"), F.col("text").alias("_whole"), *[F.col(c).alias(f"_carried_{i}") for i, c in enumerate(carried)])
+    measured = stage(measures(slim, "_whole").drop("_whole"), "measures")
+    narrow = measured.drop(*[f"_carried_{i}" for i in range(len(carried))])
+    cutoffs = certified_cutoffs(narrow, labels, alpha, delta).withColumnRenamed("stratum", "_stratum")
     judged = measured.join(cutoffs, F.col("stratum") == F.col("_stratum"), "left").withColumn("base_failed", base_failed())
     failed = F.filter(F.array(*[F.when(scores()[r] >= F.col(f"cut_{r}"), F.lit(r)) for r in CUTOFFS]), lambda r: r.isNotNull())
     judged = judged.withColumn("rejected_by", F.array_join(failed, ","))
-    names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return judged.select("doc_id", "stratum", *names, (~F.col("base_failed") & (F.col("rejected_by") == "")).alias("kept"), "rejected_by")
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("rejected_by") == ""))
+
+
+def apply_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """Measures, ``base_failed``, ``kept`` and ``rejected_by`` (names of the rules) of every row, beside ``doc_id`` and ``stratum``."""
+    names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by"]
+    return _judged(docs, labels, alpha, delta, []).select("doc_id", "stratum", *names)
+
+
+def filter_documents(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with their columns; texts are measured where they lie and not shuffled."""
+    kept = _judged(docs, labels, alpha, delta, docs.columns).where("kept")
+    return kept.select(*[F.col(f"_carried_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def rules_sql(alpha: float = ALPHA, delta: float = DELTA) -> str:
