@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import types as T
@@ -30,3 +32,11 @@ def batch(schema: str | T.StructType, *columns) -> pa.RecordBatch:
 def lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
     """One list for each of ``sizes``, of consecutive values."""
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values))
+
+
+def release() -> None:
+    """Give freed memory back to the system: a worker lives on, and its next task needs other sizes."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
