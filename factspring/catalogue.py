@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import relational  # noqa: F401  registers its queries
+from .plans import calculation, documents, relational  # noqa: F401  register their queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
