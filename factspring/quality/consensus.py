@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..shipping import ship
+from ..operators.grouped import by_group
 
 #: Readers in order of trust; how far equal values may lie apart.
 READERS, TOLERANCE = ("textlayer", "docling", "llamaparse", "llm"), 0.005
@@ -45,10 +44,5 @@ def cluster(readings: list[dict]) -> list[dict]:
 
 def consensus(readings: DataFrame) -> DataFrame:
     """Facts of readings ``utility, fiscal_year, voice, head, label, label_key, page, value, reader``. A key holds the few readings of one figure's row."""
-    ship(readings.sparkSession)
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = cluster(frame.to_dict("records"))
-        return pd.DataFrame([[f[c] for c in (*KEY, "label", "page", "value", "consensus", "readers")] for f in rows], columns=[*KEY, "label", "page", "value", "consensus", "readers"])
-
-    return readings.groupBy(*KEY).applyInPandas(run, SCHEMA)
+    columns = [*KEY, "label", "page", "value", "consensus", "readers"]
+    return by_group(readings, KEY, ["page", "label", "value"], lambda rows: [tuple(f[c] for c in columns) for f in cluster(rows)], SCHEMA)
