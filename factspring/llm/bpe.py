@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .arrow_io import batch, utf8
+from .arrow_io import batch, tidy, utf8
 from .staging import ship
 
 LEAF = 4096  # code points of a run that are encoded in one piece
@@ -149,4 +149,4 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     A null text counts as empty: no tokens, and the hashes of nothing.
     """
     ship(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_encode_batches(path), ENCODED_SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(tidy(_encode_batches(path)), ENCODED_SCHEMA)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow_io import batch, utf8
+from .arrow_io import batch, tidy, utf8
 from .staging import ship
 
 WINDOW = 128  # bytes that the network sees at once
@@ -229,7 +229,7 @@ def predict(docs: DataFrame, model: BiGru | None) -> DataFrame:
     schema = T.StructType([f for f in docs.schema.fields if f.name not in ("lang_pred", "score")] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     names = [f.name for f in schema.fields[:-2]]
     given = docs.select(*names, F.coalesce("text", F.lit("")).alias("_text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_lettered"))
-    return given.mapInArrow(_predictor(model, schema), schema)
+    return given.mapInArrow(tidy(_predictor(model, schema)), schema)
 
 
 def held_out(doc_id: Column) -> Column:

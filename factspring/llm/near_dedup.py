@@ -14,14 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow_io import batch, lists, utf8
+from .arrow_io import batch, lists, tidy, utf8
 from .bytehash import Prefix, U, mix
 from .staging import ship, stage
 
 WORDS = 5
 ROWS, BANDS = 5, 50  # a pair of similarity 0.75 shares no band with probability (1 - 0.75**5)**50, about 1e-6
 SIMILARITY = 75  # per cent
-TILE = 1 << 21
+TILE = 1 << 19
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.zeros(256, bool)
@@ -205,7 +205,7 @@ def link_documents(docs: DataFrame, per_cent: int = SIMILARITY, words: int = WOR
     spark = docs.sparkSession
     ship(spark)
     texts = docs.select("doc_id", "text")
-    sketched = stage(texts.mapInArrow(sketch(rows, bands, words), SKETCH_SCHEMA), "sketch")
+    sketched = stage(texts.mapInArrow(tidy(sketch(rows, bands, words)), SKETCH_SCHEMA), "sketch")
     sets = sketched.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("m"))
     nodes = sets.select("set_key", F.col("m.doc_id").alias("node"), F.col("m.n_shingles").alias("n"), "m.bands")
     banded = nodes.select("node", "n", F.explode("bands").alias("band"))
@@ -214,7 +214,7 @@ def link_documents(docs: DataFrame, per_cent: int = SIMILARITY, words: int = WOR
 
     involved = candidates.select(F.col("node").alias("doc_id")).distinct()
     texts = stage(texts.where("doc_id is not null").join(involved, "doc_id", "left_semi").distinct(), "candidate-texts")
-    shingles = texts.mapInArrow(_shingle_rows(words), "doc_id long, shingle long")
+    shingles = texts.mapInArrow(tidy(_shingle_rows(words)), "doc_id long, shingle long")
     alone = shingles.groupBy("shingle").agg(F.count("*").alias("c"), F.min("doc_id").alias("node")).where("c = 1").groupBy("node").agg(F.count("*").alias("alone"))
     bounded = candidates.join(alone, "node", "left").withColumn("can", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
     # similarity s needs an intersection of s / (1 + s) of both sizes, and sizes in proportion s
@@ -225,7 +225,7 @@ def link_documents(docs: DataFrame, per_cent: int = SIMILARITY, words: int = WOR
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        return pairs.select("a", "b", "text_a", "text_b").mapInArrow(_compared(words, per_cent), PAIR_SCHEMA)
+        return pairs.select("a", "b", "text_a", "text_b").mapInArrow(tidy(_compared(words, per_cent)), PAIR_SCHEMA)
 
     # a group's centre shares most buckets with most documents, so it is compared first
     weight = bounded.join(bounded.groupBy("band").agg(F.count("*").alias("c")), "band").groupBy("node").agg(F.sum("c").alias("weight"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import byte_bpe
-from .arrow_io import batch, utf8
+from .arrow_io import batch, tidy, utf8
 from .staging import ship, stage
 
 CAPACITY, END_ID = 1024, 2
@@ -212,7 +212,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> Data
     place among those of its length: by task of the tokenising job, then by document and piece.
     """
     ship(docs.sparkSession)
-    pieces = stage(docs.select("doc_id", "text").mapInArrow(_cut(path, capacity), PIECE_SCHEMA), "pieces")
+    pieces = stage(docs.select("doc_id", "text").mapInArrow(tidy(_cut(path, capacity)), PIECE_SCHEMA), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # a row for each length up to the capacity
     runs, _ = best_plan(counts, capacity)
     by_task = pieces.groupBy("length", "task").count()

@@ -1,59 +1,14 @@
-"""Intermediate tables in the folder that the driver and all executors share."""
+"""What the operators take from the library: staged tables, shipped modules, and the session's shuffle width."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
-import uuid
-import zipfile
-from pathlib import Path
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from ..shipping import ship
+from ..sources.shared import shared_folder, stage
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        own = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if own.isDefined():
-            return own.get()
-        folder = tempfile.mkdtemp(prefix="factspring-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation of what came before.
-
-    Shuffle files behind the written table are released to Spark's cleaner.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    del df
-    gc.collect()
-    for _ in range(2):  # the first may come while an event still holds the plan
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
-    return spark.read.schema(schema).parquet(path)
+__all__ = ["shared_folder", "ship", "stage", "width"]
 
 
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package's modules to the executors, once for a context, so that Python functions can import them there."""
-    context = spark.sparkContext
-    if getattr(context, "_factspring_shipped", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
-    with zipfile.ZipFile(archive, "w") as out:
-        for file in sorted(package.rglob("*.py")):
-            out.write(file, file.relative_to(package.parent))
-    context.addPyFile(str(archive))
-    context._factspring_shipped = True

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import byte_bpe
-from .arrow_io import batch, utf8
+from .arrow_io import batch, tidy, utf8
 from .staging import ship
 
 COUNT_SCHEMA = "doc_id long, section int, n_chars long, n_tokens long, n_crossing long"
@@ -61,4 +61,4 @@ def count_tokens(docs: DataFrame, path: str, rule: str = "first") -> DataFrame:
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
     ship(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_count(path, rule), COUNT_SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(tidy(_count(path, rule)), COUNT_SCHEMA)
