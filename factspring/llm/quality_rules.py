@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from .staging import stage
 
-ALPHA, DELTA = 0.05, 0.05
+ALPHA, DELTA = 0.02, 0.05
 #: Cutoffs in thousandths, lenient to strict.
-CUTOFFS = {"symbols": (300, 200, 100, 50, 20, 10), "repeats": (250, 200, 150, 100, 50), "dup_lines": (700, 500, 400, 300, 200, 100)}
+CUTOFFS = {"symbols": (300, 200, 150, 100, 50), "repeats": (250, 200, 150, 100, 50), "dup_lines": (700, 500, 400, 300, 200, 100)}
 WINDOW = 8  # words
 _SPACE = r"[ \x09-\x0D]"
 
