@@ -65,7 +65,7 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     ranges do, with no global sort. Equal ids lie in the order of their texts, null ids after all others.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    buckets = buckets or width(docs.sparkSession)
+    buckets = buckets or 4 * width(docs.sparkSession)  # several a task, so that tasks even out
     cuts = docs.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets + 1)], 10000).alias("q"), F.max("doc_id").alias("top"), F.min(F.expr("doc_id is null")).alias("none")).first()
     bounds = sorted({*(cuts["q"] or []), *([cuts["top"]] if cuts["top"] is not None else [])}) or [0]
     n = len(bounds)
