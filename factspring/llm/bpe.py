@@ -8,6 +8,7 @@ and around each join growing windows are encoded anew until they agree with both
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ from .staging import ship
 
 LEAF = 4096  # code points of a run that are encoded in one piece
 AGREE = 4  # tokens in a row that a window must share with each side
-MEMO = 250_000  # runs remembered by a worker
+MEMO = 400_000  # runs remembered by a worker
 
 Token = tuple[int, int, int]  # id, start, end
 
@@ -72,6 +73,7 @@ def tree_encode(tokenizer: Tokenizer, text: str, leaf: int = LEAF) -> list[Token
     cuts = [0]
     while cuts[-1] < len(text):
         cuts.append(min(len(text), cuts[-1] + leaf))
+    os.environ["TOKENIZERS_PARALLELISM"] = "true"
     level = [_tokens(e, a) for e, a in zip(tokenizer.encode_batch([text[a:b] for a, b in zip(cuts, cuts[1:])], add_special_tokens=False), cuts)]
     while len(level) > 1:
         joined = [_join(tokenizer, text, level[i], level[i + 1], cuts[i], cuts[i + 2]) for i in range(0, len(level) - 1, 2)]
@@ -92,32 +94,35 @@ class RunEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
-        self.memo: dict[str, tuple[int, bytes, bytes]] = {}
+        self.ids: dict[str, bytes] = {}  # a run's ids in decimal, each after a space
+        self.tokens: dict[str, bytes] = {}  # its tokens, likewise
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.names = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(size)]
+        self.names = [b" " + (self.tokenizer.id_to_token(i) or "").encode() for i in range(size)]
+        self.numbers = [b" %d" % i for i in range(size)]
 
-    def _entry(self, ids: list[int]) -> tuple[int, bytes, bytes]:
-        """Number of ids, ids in decimal, their tokens; joined by spaces."""
-        return len(ids), b" ".join(b"%d" % i for i in ids), b" ".join(self.names[i] for i in ids)
+    def _learn(self, run: str, ids: list[int]) -> None:
+        self.ids[run] = b"".join([self.numbers[i] for i in ids])
+        self.tokens[run] = b"".join([self.names[i] for i in ids])
 
     def encode(self, texts: list[str]) -> Iterator[tuple[int, bytes, bytes]]:
         """For each text: number of ids, ids in decimal, decoded text (the decoder-less join of its tokens)."""
         split = [_RUN.findall(t) if _OTHER.search(t) else _FINE.findall(t.lower()) for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        new = [r for r in {r for runs in split for r in runs} if r not in self.memo]
+        if len(self.ids) > MEMO:
+            self.ids.clear()
+            self.tokens.clear()
+        new = list(set().union(*split).difference(self.ids))
         short = [r for r in new if len(r) <= LEAF]
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has its one core; only the leaves of a long run are spread
         for run, e in zip(short, self.tokenizer.encode_batch_fast(short, add_special_tokens=False)):
-            self.memo[run] = self._entry(e.ids)
-        for run in new:
-            if len(run) > LEAF:
-                self.memo[run] = self._entry([t[0] for t in tree_encode(self.tokenizer, run)])
+            self._learn(run, e.ids)
+        long = [r for r in new if len(r) > LEAF]
+        for run in long:
+            self._learn(run, [t[0] for t in tree_encode(self.tokenizer, run)])
         for runs in split:
-            found = [e for e in map(self.memo.__getitem__, runs) if e[0]]
-            yield sum(e[0] for e in found), b" ".join([e[1] for e in found]), b" ".join([e[2] for e in found])
-        for run in new:
-            if len(run) > LEAF:
-                del self.memo[run]
+            ids = b"".join(map(self.ids.__getitem__, runs))[1:]
+            yield ids.count(b" ") + 1 if ids else 0, ids, b"".join(map(self.tokens.__getitem__, runs))[1:]
+        for run in long:
+            del self.ids[run], self.tokens[run]
 
 
 _encoders: dict[str, RunEncoder] = {}
