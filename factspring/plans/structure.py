@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..calc.fixpoint import fill
+from ..calc.reproduce import reproduce
+from ..calc.rules import Input, Rule, RuleSet
+from ..functions import figures, labels
 from ..operators import structure
 from ..operators.tables import input_hash
 from ..registry import query
@@ -75,3 +78,27 @@ def clause_outline(spark, sf_dir) -> DataFrame:
 def input_hashes(spark, sf_dir) -> DataFrame:
     """A computation's inputs as canonical JSON, hashed; the same inputs reproduce the hash."""
     return table(spark, sf_dir, "part").select("p_partkey", input_hash("p_name", "p_size").alias("hash"))
+
+
+@query("reproduce_sheet", """WITH n AS (SELECT s_nationkey, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS gross, sum(l_quantity::DECIMAL(18,2))::DOUBLE AS q FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_nationkey),
+c AS (SELECT *, round((gross / 1e7)::DECIMAL(38,9), 6) AS money, round((CASE WHEN s_nationkey % 6 <> 0 THEN gross / (q * 1e6) END)::DECIMAL(38,9), 6) AS rate FROM n)
+SELECT s_nationkey, 'money' AS output, (round(gross / 1e7, 1) + CASE WHEN s_nationkey % 4 = 0 THEN 0.2::DOUBLE ELSE 0 END)::DECIMAL(28,6) AS filed, round(money, 4)::DECIMAL(38,4) AS computed, CASE WHEN s_nationkey % 4 = 0 THEN 'differs' ELSE 'reproduced' END AS result FROM c
+UNION ALL SELECT s_nationkey, 'rate', CASE WHEN s_nationkey % 5 <> 0 THEN round(gross / (q * 1e6), 4)::DECIMAL(28,6) END, round(rate, 4)::DECIMAL(38,4), CASE WHEN s_nationkey % 5 = 0 THEN 'not filed' WHEN s_nationkey % 6 = 0 THEN 'blocked: input e (row:energy) has no value' ELSE 'reproduced' END FROM c""")
+def reproduce_sheet(spark, sf_dir) -> DataFrame:
+    """A sheet of each nation: two printed figures computed again from two filed rows."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("g"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("q"))
+    n = lines.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy("s_nationkey").agg(F.sum("g").cast("double").alias("gross"), F.sum("q").cast("double").alias("q"))
+    rows = F.expr("""array(struct('gross' as row, gross as v, 2 as places), struct('energy' as row, case when s_nationkey % 6 <> 0 then q end as v, 2 as places),
+      struct('money' as row, round(gross / 1e7, 1) + case when s_nationkey % 4 = 0 then 0.2D else 0D end as v, 1 as places), struct('rate' as row, case when s_nationkey % 5 <> 0 then round(gross / (q * 1e6), 4) end as v, 4 as places))""")
+    cells = n.select("s_nationkey", F.explode(rows).alias("c")).select("s_nationkey", "c.row", F.col("c.v").cast("decimal(28,6)").alias("value"), "c.places")
+    rules = RuleSet([Rule("money", "g", "INR_crore", {"g": Input("row:gross", "INR")}, places=6), Rule("rate", "g / e", "INR_per_kWh", {"g": Input("row:gross", "INR"), "e": Input("row:energy", "MU")}, places=6)], "FY2024-25")
+    return reproduce(cells, rules, {"row:gross": ("gross", "INR"), "row:energy": ("energy", "MU")}, {"money": "money", "rate": "rate"}, ["s_nationkey"])
+
+
+@query("grid_candidates", """WITH l AS (SELECT l_orderkey AS grid, l_linenumber + 1 AS row, sum(l_quantity::DECIMAL(18,2)) AS q, max(l_partkey) AS p FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY ALL), m AS (SELECT *, CASE WHEN min(CASE WHEN row % 2 = 0 THEN row END) OVER (PARTITION BY grid) <= row THEN 'power_purchase' END AS head FROM l), y AS (SELECT o_orderkey AS grid, 'FY' || year(o_orderdate) || '-' || lpad(((year(o_orderdate) + 1) % 100)::VARCHAR, 2, '0') AS fy FROM orders)
+SELECT grid, row, fy AS fiscal_year, 'claimed' AS voice, head, q::DECIMAL(28,6) AS value FROM m JOIN y USING (grid) UNION ALL SELECT grid, row, fy, 'approved', head, p::DECIMAL(28,6) FROM m JOIN y USING (grid)""")
+def grid_candidates(spark, sf_dir) -> DataFrame:
+    """Cells of grids as candidate figures: the header names year and voice, the label the head, the text the value."""
+    grids = _grids(spark, sf_dir).withColumn("text", F.when((F.col("row") == 0) & (F.col("col") == 1), F.concat("text", F.lit("-"), F.lpad(((F.col("text").cast("int") + 1) % 100).cast("string"), 2, "0"))).when((F.col("row") > 1) & (F.col("col") == 0) & (F.col("text") != ""), F.concat(F.lit("Power Purchase "), "text")).otherwise(F.col("text")))
+    cells = structure.grid_cells(grids, 2)
+    return cells.select("grid", "row", figures.fiscal_year(F.col("header")).alias("fiscal_year"), labels.voice_of(F.col("header")).alias("voice"), labels.head_of(F.col("label")).alias("head"), figures.figure(F.col("text")).alias("value")).where("value is not null")
