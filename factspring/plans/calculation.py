@@ -90,13 +90,13 @@ def identities(spark, sf_dir) -> DataFrame:
     return out.select("o_orderkey", "printed", "parts", "n", F.expr("abs(printed - parts) <= greatest(cast(0.05 as decimal(4,2)), cast(0.001 as decimal(6,3)) * abs(parts))").alias("holds"))
 
 
-@query("trueup", """WITH a AS (SELECT o_orderkey, o_totalprice::DECIMAL(18,2) AS approved, o_orderpriority AS unit FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT l_orderkey, sum(l_extendedprice::DECIMAL(18,2)) AS actual, max(l_shipdate) AS seen FROM lineitem WHERE l_orderkey % 4 <> 0 GROUP BY l_orderkey)
+@query("trueup", """WITH a AS (SELECT o_orderkey, o_totalprice::DECIMAL(18,2) AS approved, o_orderpriority AS unit FROM orders WHERE o_orderpriority <> '4-NOT SPECIFIED'), b AS (SELECT l_orderkey, sum(l_extendedprice::DECIMAL(18,2)) AS actual, max(l_shipdate) AS seen FROM lineitem WHERE l_returnflag <> 'R' GROUP BY l_orderkey)
 SELECT coalesce(o_orderkey, l_orderkey) AS line, approved, actual, CASE WHEN actual IS NULL THEN 'actual_missing' WHEN approved IS NULL THEN 'approved_missing' WHEN unit = '5-LOW' THEN 'unit_mismatch' ELSE 'complete' END AS status,
   CASE WHEN unit <> '5-LOW' THEN actual - approved END AS variance FROM a FULL JOIN b ON o_orderkey = l_orderkey""")
 def trueup(spark, sf_dir) -> DataFrame:
     """Approved against actual by line; a variance only where both are there in one unit."""
-    a = table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("approved"), F.col("o_orderpriority").alias("unit"))
-    b = table(spark, sf_dir, "lineitem").where("l_orderkey % 4 <> 0").groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("actual"))
+    a = table(spark, sf_dir, "orders").where("o_orderpriority <> '4-NOT SPECIFIED'").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("approved"), F.col("o_orderpriority").alias("unit"))
+    b = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'R'").groupBy("l_orderkey").agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("actual"))
     j = a.join(b, F.col("o_orderkey") == F.col("l_orderkey"), "full_outer")
     status = F.expr("case when actual is null then 'actual_missing' when approved is null then 'approved_missing' when unit = '5-LOW' then 'unit_mismatch' else 'complete' end")
     return j.select(F.coalesce("o_orderkey", "l_orderkey").alias("line"), "approved", "actual", status.alias("status"), F.expr("case when unit <> '5-LOW' then actual - approved end").alias("variance"))

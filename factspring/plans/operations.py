@@ -60,18 +60,20 @@ def consensus_facts(spark, sf_dir) -> DataFrame:
     return consensus(read.withColumn("label_key", F.regexp_replace(F.lower("label"), "[^a-z0-9]+", "")).drop("l_orderkey"))
 
 
-@query("upsert_facts", "SELECT coalesce(a.c_custkey, b.c_custkey) AS c_custkey, CASE WHEN b.c_custkey IS NOT NULL THEN b.bal ELSE a.bal END AS bal, coalesce(a.segment, b.segment) AS segment FROM (SELECT c_custkey, c_acctbal AS bal, nullif(c_mktsegment, 'MACHINERY') AS segment FROM customer WHERE c_custkey % 3 <> 0) a FULL JOIN (SELECT c_custkey, c_acctbal * 2 AS bal, 'NEW' AS segment FROM customer WHERE c_custkey % 2 = 0) b ON a.c_custkey = b.c_custkey")
+@query("upsert_facts", "SELECT coalesce(a.c_custkey, b.c_custkey) AS c_custkey, CASE WHEN b.c_custkey IS NOT NULL THEN b.bal ELSE a.bal END AS bal, coalesce(a.segment, b.segment) AS segment FROM (SELECT c_custkey, c_acctbal AS bal, nullif(c_mktsegment, 'MACHINERY') AS segment FROM customer WHERE c_mktsegment <> 'BUILDING') a FULL JOIN (SELECT c_custkey, c_acctbal * 2 AS bal, 'NEW' AS segment FROM customer WHERE c_acctbal > 5000) b ON a.c_custkey = b.c_custkey")
 def upsert_facts(spark, sf_dir) -> DataFrame:
     c = table(spark, sf_dir, "customer")
-    current = c.where("c_custkey % 3 <> 0").select("c_custkey", F.col("c_acctbal").alias("bal"), F.expr("nullif(c_mktsegment, 'MACHINERY')").alias("segment"))
-    incoming = c.where("c_custkey % 2 = 0").select("c_custkey", (F.col("c_acctbal") * 2).alias("bal"), F.lit("NEW").alias("segment"))
+    current = c.where("c_mktsegment <> 'BUILDING'").select("c_custkey", F.col("c_acctbal").alias("bal"), F.expr("nullif(c_mktsegment, 'MACHINERY')").alias("segment"))
+    incoming = c.where("c_acctbal > 5000").select("c_custkey", (F.col("c_acctbal") * 2).alias("bal"), F.lit("NEW").alias("segment"))
     return tables.upsert(current, incoming, ["c_custkey"], preserve=["segment"])
 
 
-@query("replace_order", "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem WHERE l_orderkey % 10 <> 0 UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_quantity + 1 FROM lineitem WHERE l_orderkey % 10 = 0 AND l_linenumber <= 2 UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem l WHERE l_orderkey % 10 = 0 AND NOT EXISTS (SELECT 1 FROM lineitem m WHERE m.l_orderkey = l.l_orderkey AND m.l_linenumber <= 2)")
+@query("replace_order", "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity + 1 AS l_quantity FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber <= 2 UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM lineitem m WHERE m.l_orderkey = l.l_orderkey AND m.l_returnflag = 'A' AND m.l_linenumber <= 2)")
 def replace_order(spark, sf_dir) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    return tables.replace_groups(lines, lines.where("l_orderkey % 10 = 0 and l_linenumber <= 2").withColumn("l_quantity", F.col("l_quantity") + 1), ["l_orderkey"])
+    lines = table(spark, sf_dir, "lineitem")
+    came = lines.where("l_returnflag = 'A' and l_linenumber <= 2")
+    lines, came = (x.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity") for x in (lines, came))
+    return tables.replace_groups(lines, came.withColumn("l_quantity", F.col("l_quantity") + 1), ["l_orderkey"])
 
 
 @query("quarantine_rows", "SELECT event_id, CASE WHEN value < 1 THEN 'value under 1' WHEN event_type = 'error' AND user_id % 2 = 0 THEN 'error of an even user' END AS reason FROM events WHERE reason IS NOT NULL")

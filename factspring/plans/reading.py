@@ -20,15 +20,15 @@ def headline_pick(spark, sf_dir) -> DataFrame:
     return latest(rows, ["l_orderkey"], order).select("l_orderkey", "l_returnflag", "l_linenumber", "l_partkey")
 
 
-@query("unit_inference", """WITH f AS (SELECT DISTINCT l_suppkey * 8 + l_linenumber AS tab, l_partkey AS figure FROM lineitem WHERE l_quantity > 40), d AS (SELECT figure FROM f GROUP BY figure HAVING count(*) <= 6), g AS (SELECT * FROM f JOIN d USING (figure)),
-p AS (SELECT a.tab, b.tab % 3 AS unit, a.figure FROM g a JOIN g b ON a.figure = b.figure WHERE a.tab % 2 = 0 AND b.tab % 2 = 1)
-SELECT tab, min(unit)::BIGINT AS unit, count(DISTINCT figure) AS shared FROM p GROUP BY tab HAVING count(DISTINCT unit) = 1""")
+@query("unit_inference", """WITH f AS (SELECT DISTINCT l_orderkey AS tab, nullif(o_orderpriority, '5-LOW') AS unit, (l_partkey * 100 + l_quantity)::BIGINT AS figure FROM lineitem JOIN orders ON l_orderkey = o_orderkey), d AS (SELECT figure FROM f GROUP BY figure HAVING count(*) <= 6), g AS (SELECT * FROM f JOIN d USING (figure)),
+p AS (SELECT a.tab, b.unit, a.figure FROM g a JOIN g b ON a.figure = b.figure WHERE a.unit IS NULL AND b.unit IS NOT NULL)
+SELECT tab, min(unit) AS unit, count(DISTINCT figure) AS shared FROM p GROUP BY tab HAVING count(DISTINCT unit) = 1""")
 def unit_inference(spark, sf_dir) -> DataFrame:
     """A table without a unit takes that of tables it shares distinctive figures with, if they name one only. Figures that many tables have tell nothing and are left out, so no figure makes many pairs."""
-    f = table(spark, sf_dir, "lineitem").where("l_quantity > 40").select((F.col("l_suppkey") * 8 + F.col("l_linenumber")).alias("tab"), F.col("l_partkey").alias("figure")).distinct()
-    g = f.join(f.groupBy("figure").count().where("count <= 6").select("figure"), "figure")
-    known = g.where("tab % 2 = 1").select("figure", (F.col("tab") % 3).alias("unit"))
-    pairs = g.where("tab % 2 = 0").join(known, "figure")
+    units = table(spark, sf_dir, "orders").select("o_orderkey", F.expr("nullif(o_orderpriority, '5-LOW')").alias("unit"))
+    f = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("tab"), F.expr("cast(l_partkey * 100 + l_quantity as long)").alias("figure")).distinct()
+    g = f.join(f.groupBy("figure").count().where("count <= 6").select("figure"), "figure").join(units, F.col("tab") == F.col("o_orderkey"))
+    pairs = g.where("unit is null").select("tab", "figure").join(g.where("unit is not null").select("figure", "unit"), "figure")
     return pairs.groupBy("tab").agg(F.min("unit").alias("unit"), F.count_distinct("figure").alias("shared"), F.max("unit").alias("most")).where("unit = most").drop("most")
 
 
@@ -79,12 +79,12 @@ def release_preview(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("facts"), F.count_if(F.col("p_size") < 10).alias("gaps"), F.sha2(F.array_join(rows, ","), 256).alias("token"))
 
 
-@query("printed_lookup", """WITH c AS (SELECT p_partkey, round(p_retailprice::DECIMAL(18,2), 1)::DECIMAL(18,1) AS cell FROM part), q AS (SELECT DISTINCT round(l_extendedprice::DECIMAL(18,2) / l_quantity::INTEGER, 1)::DECIMAL(18,1) AS printed FROM lineitem WHERE l_linenumber = 1)
+@query("printed_lookup", """WITH c AS (SELECT p_partkey, round(p_retailprice::DECIMAL(18,2), 1)::DECIMAL(18,1) AS cell FROM part), q AS (SELECT DISTINCT round(l_extendedprice::DECIMAL(18,2) / l_quantity::INTEGER, 1)::DECIMAL(18,1) AS printed FROM lineitem)
 SELECT printed, count(*) FILTER (cell = printed) AS exact, count(*) FILTER (cell <> printed) AS near FROM q JOIN c ON abs(cell - printed) <= 0.1::DECIMAL(4,1) GROUP BY printed""")
 def printed_lookup(spark, sf_dir) -> DataFrame:
     """Printed figures found among cells at their precision, one unit in the last place either way: an equi join on integers, three probes each."""
     cells = table(spark, sf_dir, "part").select((F.round(F.col("p_retailprice").cast("decimal(18,2)"), 1) * 10).cast("long").alias("cell"))
-    asked = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.expr("round(cast(cast(l_extendedprice as decimal(18,2)) / cast(l_quantity as int) as double), 1)").cast("decimal(18,1)").alias("printed")).distinct()
+    asked = table(spark, sf_dir, "lineitem").select(F.expr("round(cast(cast(l_extendedprice as decimal(18,2)) / cast(l_quantity as int) as double), 1)").cast("decimal(18,1)").alias("printed")).distinct()
     probes = asked.withColumn("at", (F.col("printed") * 10).cast("long")).withColumn("slack", F.explode(F.sequence(F.lit(-1), F.lit(1))))
     found = probes.join(cells, F.col("cell") == F.col("at") + F.col("slack"))
     return found.groupBy("printed").agg(F.count_if(F.col("slack") == 0).alias("exact"), F.count_if(F.col("slack") != 0).alias("near"))
@@ -93,8 +93,8 @@ def printed_lookup(spark, sf_dir) -> DataFrame:
 @query("three_pass_pairs")
 def three_pass_pairs(spark, sf_dir) -> DataFrame:
     """Lines of two channels paired by the whole key, then without the date, then by part alone; tested on small cases."""
-    lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 2").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), "l_orderkey", "l_partkey", "l_suppkey", "l_shipdate")
-    other = lines.select((F.col("id") * 10).alias("other"), F.when(F.col("id") % 3 == 0, -F.col("l_orderkey")).otherwise(F.col("l_orderkey")).alias("l_orderkey"), "l_partkey", "l_suppkey", F.when(F.col("id") % 2 == 0, F.lit(None)).otherwise(F.col("l_shipdate")).alias("l_shipdate"))
+    lines = table(spark, sf_dir, "lineitem").select(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax").alias("id"), "l_orderkey", "l_partkey", "l_suppkey", "l_shipdate")
+    other = lines.select(F.xxhash64("id").alias("other"), F.when(F.col("id") % 3 == 0, -F.col("l_orderkey")).otherwise(F.col("l_orderkey")).alias("l_orderkey"), "l_partkey", "l_suppkey", F.when(F.col("id") % 2 == 0, F.lit(None)).otherwise(F.col("l_shipdate")).alias("l_shipdate"))
     return staged_pairs(lines, other, "id", "other", [["l_orderkey", "l_partkey", "l_suppkey", "l_shipdate"], ["l_orderkey", "l_partkey"], ["l_partkey", "l_suppkey"]])
 
 

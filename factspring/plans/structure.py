@@ -15,10 +15,10 @@ from ..registry import query
 from ..sources.catalog import table
 
 
-@query("fill_fixpoint", "SELECT l_orderkey * 8 + l_linenumber AS cell, sum(v) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber)::DECIMAL(28,2) AS value FROM (SELECT l_orderkey, l_linenumber, sum(l_quantity::DECIMAL(18,2)) AS v FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY ALL)")
+@query("fill_fixpoint", "SELECT l_orderkey * 8 + l_linenumber AS cell, sum(v) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber)::DECIMAL(28,2) AS value FROM (SELECT l_orderkey, l_linenumber, sum(l_quantity::DECIMAL(18,2)) AS v FROM lineitem GROUP BY ALL)")
 def fill_fixpoint(spark, sf_dir) -> DataFrame:
     """Cells that read the cell before them, filled pass by pass; the chain is as long as an order has lines."""
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0").groupBy("l_orderkey", "l_linenumber").agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("v")).withColumn("cell", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("v")).withColumn("cell", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
     before = lines.select("l_orderkey", F.col("cell").alias("source"), F.col("l_linenumber").alias("k"))
     pairs = lines.join(before, "l_orderkey").where("k < l_linenumber").groupBy("cell").agg(F.max("source").alias("source"))
     one = F.lit(1).cast("decimal(2,0)")
@@ -29,32 +29,32 @@ def fill_fixpoint(spark, sf_dir) -> DataFrame:
 
 def _grids(spark, sf_dir) -> DataFrame:
     """A grid of each order: two header rows with a merged cell, a first column whose repeats are blank."""
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("grid"), F.year("o_orderdate").cast("string").alias("y"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("grid"), F.year("o_orderdate").cast("string").alias("y"))
     heads = orders.select("grid", F.explode(F.expr("array(struct(0 as row, 0 as col, 'Head' as text), struct(0 as row, 1 as col, y as text), struct(0 as row, 2 as col, '' as text), struct(1 as row, 0 as col, '' as text), struct(1 as row, 1 as col, 'Claimed' as text), struct(1 as row, 2 as col, 'Approved' as text))")).alias("c")).select("grid", "c.*")
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0").groupBy(F.col("l_orderkey").alias("grid"), (F.col("l_linenumber") + 1).alias("row")).agg(F.min("l_returnflag").alias("f"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("q"), F.max("l_partkey").alias("p"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("grid"), (F.col("l_linenumber") + 1).alias("row")).agg(F.min("l_returnflag").alias("f"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("q"), F.max("l_partkey").alias("p"))
     cells = F.expr("array(struct(row, 0 as col, case when row % 2 = 0 then f else '' end as text), struct(row, 1 as col, cast(q as string) as text), struct(row, 2 as col, cast(p as string) as text))")
     return heads.unionByName(lines.select("grid", F.explode(cells).alias("c")).select("grid", "c.*"))
 
 
-@query("grid_cells", """WITH l AS (SELECT l_orderkey AS grid, l_linenumber + 1 AS row, min(l_returnflag) AS f, sum(l_quantity::DECIMAL(18,2)) AS q, max(l_partkey) AS p FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY ALL),
+@query("grid_cells", """WITH l AS (SELECT l_orderkey AS grid, l_linenumber + 1 AS row, min(l_returnflag) AS f, sum(l_quantity::DECIMAL(18,2)) AS q, max(l_partkey) AS p FROM lineitem GROUP BY ALL),
 m AS (SELECT *, last_value(CASE WHEN row % 2 = 0 THEN f END IGNORE NULLS) OVER (PARTITION BY grid ORDER BY row ROWS UNBOUNDED PRECEDING) AS label FROM l), y AS (SELECT o_orderkey AS grid, year(o_orderdate)::VARCHAR AS y FROM orders)
 SELECT grid, row, 1 AS col, q::VARCHAR AS text, y || ' / Claimed' AS header, label FROM m JOIN y USING (grid) UNION ALL SELECT grid, row, 2, p::VARCHAR, y || ' / Approved', label FROM m JOIN y USING (grid)""")
 def grid_cells(spark, sf_dir) -> DataFrame:
     return structure.grid_cells(_grids(spark, sf_dir), 2)
 
 
-@query("grid_agreement", """WITH a AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS v FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY ALL) SELECT l_orderkey AS grid, round(avg(CASE WHEN (l_orderkey + l_linenumber) % 9 = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), 6) AS share,
+@query("grid_agreement", """WITH a AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS v FROM lineitem GROUP BY ALL) SELECT l_orderkey AS grid, round(avg(CASE WHEN (l_orderkey + l_linenumber) % 9 = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), 6) AS share,
 CASE WHEN avg(CASE WHEN (l_orderkey + l_linenumber) % 9 = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END) = 1 THEN 'full' WHEN avg(CASE WHEN (l_orderkey + l_linenumber) % 9 = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END) >= 0.8 THEN 'partial' ELSE 'disagree' END AS class FROM a GROUP BY l_orderkey""")
 def grid_agreement(spark, sf_dir) -> DataFrame:
-    cells = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0").groupBy(F.col("l_orderkey").alias("grid"), F.col("l_linenumber").alias("row")).agg(F.min("l_partkey").cast("string").alias("text")).withColumn("col", F.lit(0))
+    cells = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("grid"), F.col("l_linenumber").alias("row")).agg(F.min("l_partkey").cast("string").alias("text")).withColumn("col", F.lit(0))
     other = cells.withColumn("text", F.when((F.col("grid") + F.col("row")) % 9 == 0, F.lit("?")).otherwise(F.concat(F.lit(" "), F.col("text"))))
     return structure.agreement(cells, other)
 
 
-@query("merge_candidates", """SELECT l_partkey, l_suppkey, arg_max(l_orderkey, l_quantity * 1e9 - l_orderkey) AS l_orderkey, string_agg(DISTINCT l_linenumber::VARCHAR, ',' ORDER BY l_linenumber::VARCHAR) AS pages FROM (SELECT DISTINCT l_partkey, l_suppkey, l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_partkey % 5 = 0) GROUP BY l_partkey, l_suppkey""")
+@query("merge_candidates", """SELECT l_partkey, l_suppkey, arg_max(l_orderkey, l_quantity * 1e9 - l_orderkey) AS l_orderkey, string_agg(DISTINCT l_linenumber::VARCHAR, ',' ORDER BY l_linenumber::VARCHAR) AS pages FROM (SELECT DISTINCT l_partkey, l_suppkey, l_orderkey, l_linenumber, l_quantity FROM lineitem) GROUP BY l_partkey, l_suppkey""")
 def merge_candidates(spark, sf_dir) -> DataFrame:
     """Equal candidates as one: the best by confidence, then the earliest, with all pages as evidence."""
-    c = table(spark, sf_dir, "lineitem").where("l_partkey % 5 = 0").select("l_partkey", "l_suppkey", "l_orderkey", "l_quantity", F.col("l_linenumber").cast("string").alias("pages"))
+    c = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey", "l_quantity", F.col("l_linenumber").cast("string").alias("pages"))
     out = structure.merged(c, ["l_partkey", "l_suppkey"], [F.col("l_quantity").desc(), F.col("l_orderkey")], "pages")
     return out.select("l_partkey", "l_suppkey", "l_orderkey", F.array_join("pages", ",").alias("pages"))
 
@@ -95,7 +95,7 @@ def reproduce_sheet(spark, sf_dir) -> DataFrame:
     return reproduce(cells, rules, {"row:gross": ("gross", "INR"), "row:energy": ("energy", "MU")}, {"money": "money", "rate": "rate"}, ["s_nationkey"])
 
 
-@query("grid_candidates", """WITH l AS (SELECT l_orderkey AS grid, l_linenumber + 1 AS row, sum(l_quantity::DECIMAL(18,2)) AS q, max(l_partkey) AS p FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY ALL), m AS (SELECT *, CASE WHEN min(CASE WHEN row % 2 = 0 THEN row END) OVER (PARTITION BY grid) <= row THEN 'power_purchase' END AS head FROM l), y AS (SELECT o_orderkey AS grid, 'FY' || year(o_orderdate) || '-' || lpad(((year(o_orderdate) + 1) % 100)::VARCHAR, 2, '0') AS fy FROM orders)
+@query("grid_candidates", """WITH l AS (SELECT l_orderkey AS grid, l_linenumber + 1 AS row, sum(l_quantity::DECIMAL(18,2)) AS q, max(l_partkey) AS p FROM lineitem GROUP BY ALL), m AS (SELECT *, CASE WHEN min(CASE WHEN row % 2 = 0 THEN row END) OVER (PARTITION BY grid) <= row THEN 'power_purchase' END AS head FROM l), y AS (SELECT o_orderkey AS grid, 'FY' || year(o_orderdate) || '-' || lpad(((year(o_orderdate) + 1) % 100)::VARCHAR, 2, '0') AS fy FROM orders)
 SELECT grid, row, fy AS fiscal_year, 'claimed' AS voice, head, q::DECIMAL(28,6) AS value FROM m JOIN y USING (grid) UNION ALL SELECT grid, row, fy, 'approved', head, p::DECIMAL(28,6) FROM m JOIN y USING (grid)""")
 def grid_candidates(spark, sf_dir) -> DataFrame:
     """Cells of grids as candidate figures: the header names year and voice, the label the head, the text the value."""
