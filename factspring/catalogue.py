@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import calculation, documents, operations, reading, relational, structure  # noqa: F401  register their queries
+from .plans import calculation, documents, metrics, operations, reading, relational, structure  # noqa: F401  register their queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
