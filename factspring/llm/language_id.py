@@ -21,6 +21,7 @@ WINDOW = 128  # bytes that the network sees at once
 HIDDEN = 8  # units of each direction
 SAMPLE = 400  # documents of each language that are trained on, at most about
 WINDOWS = 6  # windows taken from each of them, at places given by a hash
+LANGUAGES = 200  # learnt at most, the most frequent ones
 STEPS, BATCH, RATE = 240, 128, 0.02
 CHUNK = 1024  # windows run at once
 UNDETERMINED = "und"
@@ -172,14 +173,15 @@ def windowed(texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.n
 
 
 def _portion(docs: DataFrame, learnt: Column, sample: int, window: int, per_text: int) -> tuple[list[str], list[tuple[bytes, int]]]:
-    """Languages and training windows of at most about ``sample`` documents of each, chosen by a hash of their texts."""
+    """Languages and training windows of at most about ``sample`` documents of each, chosen by a hash of id and text, so that copies are chosen apart."""
     usable = docs.where(learnt & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect()}
     languages = sorted(counts)
     if not languages:
         return [], []
     share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, sample / counts[k])))])
-    chosen = usable.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
+    hashed = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
+    chosen = usable.where(F.col("lang").isin(languages)).where(hashed < F.element_at(share, F.col("lang")) * (1 << 40)).limit(2 * sample * len(languages))
     place = lambda k: F.pmod(F.xxhash64("text", F.lit(k)), F.greatest(F.lit(1), F.length("text") - window)).cast("int") + 1
     pieces = chosen.select("lang", F.explode(F.array(*[F.col("text").substr(place(k), F.lit(window)) for k in range(per_text)])).alias("piece"))
     rows = sorted((r["lang"], r["piece"].encode()[:window]) for r in pieces.collect())
