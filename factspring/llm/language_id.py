@@ -200,11 +200,11 @@ def train(docs: DataFrame, learnt: Column, sample: int = SAMPLE) -> BiGru | None
 
 
 def _predictor(model: BiGru | None, schema):
-    names = [f.name for f in schema.fields if f.name not in ("lang_pred", "score")]
+    names = [f"carried_{i}" for i in range(len(schema.fields) - 2)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for given in batches:
-            texts, lettered = utf8(given.column("_text")), given.column("_lettered").to_pylist()
+            texts, lettered = utf8(given.column("whole")), given.column("lettered").to_pylist()
             langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
             known = [i for i, ok in enumerate(lettered) if ok and model]
             a = size = 0
@@ -226,11 +226,11 @@ def _predictor(model: BiGru | None, schema):
 
 
 def predict(docs: DataFrame, model: BiGru | None) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (mean probability over all bytes); ``und`` and 0 for a text that is null or has no letters, or without a model."""
+    """``docs`` with ``lang_pred`` and ``score`` (in place of columns of these names; mean probability over all bytes); ``und`` and 0 for a text that is null or has no letters, or without a model."""
     ship(docs.sparkSession)
     schema = T.StructType([f for f in docs.schema.fields if f.name not in ("lang_pred", "score")] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    names = [f.name for f in schema.fields[:-2]]
-    given = docs.select(*names, F.coalesce("text", F.lit("")).alias("_text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_lettered"))
+    carried = [F.col(f"`{f.name}`").alias(f"carried_{i}") for i, f in enumerate(schema.fields[:-2])]
+    given = docs.select(*carried, F.coalesce("text", F.lit("")).alias("whole"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
     return given.mapInArrow(tidy(_predictor(model, schema)), schema)
 
 

@@ -104,7 +104,7 @@ def certified_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALP
 
 def _judged(docs: DataFrame, labels: DataFrame, alpha: float, delta: float, carried: list[str]) -> DataFrame:
     """The columns ``carried`` (renamed, so that none clashes with a measure) and all measures and verdicts."""
-    slim = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("stratum"), F.col("text").alias("_whole"), *[F.col(c).alias(f"_carried_{i}") for i, c in enumerate(carried)])
+    slim = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("stratum"), F.col("text").alias("_whole"), *[F.col(f"`{c}`").alias(f"_carried_{i}") for i, c in enumerate(carried)])
     measured = stage(measures(slim, "_whole").drop("_whole"), "measures")
     narrow = measured.drop(*[f"_carried_{i}" for i in range(len(carried))])
     cutoffs = certified_cutoffs(narrow, labels, alpha, delta).withColumnRenamed("stratum", "_stratum")

@@ -17,11 +17,11 @@ from factspring.llm import bpe, byte_bpe, chat, fingerprints, language_id, near_
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 #: Extra columns have names that the operators use inside.
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, band long, kept string, size string, shard string, n string, component string, version string, start string, stratum string, score string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, band long, kept string, size string, shard string, n string, component string, version string, start string, stratum string, score string, whole string, spans string, `_text` string, `a.b` string"
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(d, t, lang, "s", 0, *["x" if i else 7 for i in range(10)]) for d, t, lang in rows], SCHEMA)
+    return spark.createDataFrame([(d, t, lang, "s", 0, *["x" if i else 7 for i in range(14)]) for d, t, lang in rows], SCHEMA)
 
 
 def corpus(seed=1):
@@ -158,6 +158,8 @@ def test_no_languages_and_no_rows(spark, nothing):
     rows = frame(spark, [(1, "hello", None), (2, None, None)])
     assert {r.lang_pred for r in language_id.identify_languages(rows).collect()} == {"und"}
     assert language_id.identify_languages(nothing).count() == 0
+    named = language_id.predict(rows, None)
+    assert named.columns == [*(c for c in rows.columns if c != "score"), "lang_pred", "score"] and {r["a.b"] for r in named.collect()} == {"x"}
 
 
 # 3
@@ -293,7 +295,7 @@ def test_repeated_passages(docs, crowd, monkeypatch):
 
 def test_repeated_passages_with_texts_and_without_rows(spark, docs, nothing):
     cut = suffix_dedup.dedup_passages(docs, texts=True)
-    assert set(docs.columns) < set(cut.columns)
+    assert set(docs.columns) < set(cut.columns) and {(r["a.b"], r["_text"], r.whole) for r in cut.collect()} == {("x", "x", "x")}
     assert all(r.kept_text == (r.text or "") for r in cut.collect() if r.n_removed == 0)
     assert suffix_dedup.dedup_passages(nothing).count() == 0
     same = "".join(chr(97 + i * 7 % 26) for i in range(80))
