@@ -71,6 +71,34 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_sharding": """
+WITH s(v) AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n))),
+b AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes FROM documents),
+c AS (SELECT doc_id, len(bytes)::BIGINT + 1 AS size, CASE WHEN len(bytes) = 0 THEN 0 ELSE xor(list_reduce(bytes, lambda c, x: xor(v[(xor(c, x) & 255) + 1], c >> 8), 4294967295), 4294967295) END AS text_crc32 FROM b, s),
+t AS (SELECT *, sum(size) OVER (ORDER BY doc_id, text_crc32) - size AS start, sum(size) OVER () AS total FROM c),
+p AS (SELECT *, least(7, (2 * start + size) * 8 // (2 * total))::INTEGER AS shard FROM t)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32) - 1 AS slot, NULL::INTEGER AS grown_shard FROM p""",
+    "op4_near_dedup": """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+g AS (SELECT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')] ELSE list_distinct(list_transform(range(0, len(words) - 4), lambda i: array_to_string(words[i + 1:i + 5], ' '))) END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM g a JOIN g b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM i JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * common >= 75 * (x.n + y.n - common)),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(node, seen) AS (SELECT DISTINCT a, a FROM l UNION SELECT node, l.b FROM r JOIN l ON r.seen = l.a),
+k AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component_id, w.doc_id) AS component_id, coalesce(component_id, w.doc_id) = w.doc_id AS kept FROM w LEFT JOIN n USING (doc_id) LEFT JOIN k ON node = w.doc_id""",
+    "op6_suffix_dedup": """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+w AS (SELECT doc_id, unnest(range(0, greatest(n - 49, 0))) AS p, unnest(list_transform(range(0, greatest(n - 49, 0)), lambda p: h[2 * p + 1:2 * p + 100])) AS s FROM b),
+m AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+g AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM w JOIN m USING (s) WHERE first < doc_id),
+k AS (SELECT doc_id, p, sum(CASE WHEN before IS NULL OR p > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM g),
+r AS (SELECT doc_id, span, min(p) AS a, max(p) + 50 AS z FROM k GROUP BY ALL),
+c AS (SELECT doc_id, count(*) AS n_spans, sum(z - a)::BIGINT AS n_removed FROM r GROUP BY doc_id),
+cut AS (SELECT doc_id, z AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS z FROM r UNION ALL SELECT doc_id, 0, min(a) FROM r GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(h[2 * cut.a + 1:2 * coalesce(cut.z, n)], '' ORDER BY cut.a) AS h FROM cut JOIN b USING (doc_id) GROUP BY doc_id)
+SELECT b.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, b.h))) AS kept_sha256 FROM b LEFT JOIN c USING (doc_id) LEFT JOIN kept USING (doc_id)""",
     "op1_quality_rules": quality_rules.rules_sql(),
     "op5_chat": chat.digest_sql().replace("FROM turns", """FROM (SELECT conv_id, turn, role, text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))"""),
