@@ -20,8 +20,8 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the certified cutoffs keep; ``labels`` are those of the documents that are left."""
-    return quality_rules.filter_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Documents that the base rules and the certified cutoffs keep, small languages pooled; ``labels`` are those of the documents that are left."""
+    return quality_rules.filter_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), pooled=True)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

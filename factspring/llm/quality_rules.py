@@ -7,6 +7,11 @@ few, were the true rate ``ALPHA / rules``, must not exceed ``DELTA / (strata * r
 sequence. So with probability 1 - ``DELTA`` no stratum loses more than ``ALPHA`` of its good documents to all rules
 together. Where too few labels certify any cutoff, the rules reject nothing.
 
+With ``pooled``, the strata whose labels could certify no cutoff even if none of them were rejected (and the strata
+without labels) make one stratum more, tested with a share of ``DELTA`` of its own: then the bound holds for the other
+strata each and for these together, not for each of these. Which strata are pooled depends on numbers of labels only,
+not on what the rules reject.
+
 Everything is DataFrame functions; only counts by stratum leave the labelled rows' tasks.
 """
 
@@ -84,45 +89,55 @@ def binomial_tail(n: Column, k: Column, rate: float) -> Column:
     return F.when(k >= n * rate, F.lit(1.0)).otherwise(down)
 
 
-def certified_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+def certified_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, pooled: bool = False) -> DataFrame:
     """A row for each stratum (``coalesce(lang, '')``) with its good labelled documents ``n_good`` and a cutoff ``cut_<rule>``, null where none is certified.
 
-    Labels without a quality are left out; of several labels of one document the least quality counts.
+    Labels without a quality are left out; of several labels of one document the least quality counts. With
+    ``pooled``, strata of too few labels are one row whose stratum is null.
     """
     labels = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_quality"))
     good = measured.join(labels, F.col("doc_id") == F.col("_id")).where("_quality = 1").where(~base_failed())
     tries = [(rule, cut) for rule, cuts in CUTOFFS.items() for cut in cuts]
     rejected = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(cut).alias("cut"), F.col(f"_{rule}_{cut}").alias("k")) for rule, cut in tries])
     counts = good.groupBy("stratum").agg(F.count("*").alias("n_good"), *[F.sum((scores()[rule] >= cut).cast("long")).alias(f"_{rule}_{cut}") for rule, cut in tries])
-    strata = counts.agg(F.count("*").alias("_strata"))  # one row
+    strata = counts.agg((F.count("*") + int(pooled)).alias("_strata"))  # one row
     counts = counts.crossJoin(F.broadcast(strata)).select("stratum", "n_good", "_strata", F.explode(rejected).alias("t"))
     counts = stage(counts.select("stratum", "n_good", "_strata", "t.*"), "label-counts")  # a row for each stratum and cutoff
-    sure = binomial_tail(F.col("n_good"), F.col("k"), alpha / len(CUTOFFS)) <= F.lit(delta) / (F.col("_strata") * len(CUTOFFS))
+    rate, share = alpha / len(CUTOFFS), F.lit(delta) / (F.col("_strata") * len(CUTOFFS))
+    if pooled:
+        own = F.when(F.pow(F.lit(1 - rate), F.col("n_good")) <= share, F.col("stratum"))
+        counts = counts.groupBy(own.alias("stratum"), "_strata", "rule", "cut").agg(F.sum("n_good").alias("n_good"), F.sum("k").alias("k"))
+    sure = binomial_tail(F.col("n_good"), F.col("k"), rate) <= share
     # counts grow with strictness, so the certified cutoffs of a sequence are its first ones
     return counts.withColumn("sure", sure).groupBy("stratum", "n_good").agg(*[F.min(F.when(F.col("sure") & (F.col("rule") == rule), F.col("cut"))).alias(f"cut_{rule}") for rule in CUTOFFS])
 
 
-def _judged(docs: DataFrame, labels: DataFrame, alpha: float, delta: float, carried: list[str]) -> DataFrame:
+def _judged(docs: DataFrame, labels: DataFrame, alpha: float, delta: float, carried: list[str], pooled: bool) -> DataFrame:
     """The columns ``carried`` (renamed, so that none clashes with a measure) and all measures and verdicts."""
     slim = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("stratum"), F.col("text").alias("_whole"), *[F.col(f"`{c}`").alias(f"_carried_{i}") for i, c in enumerate(carried)])
     measured = stage(measures(slim, "_whole").drop("_whole"), "measures")
     narrow = measured.drop(*[f"_carried_{i}" for i in range(len(carried))])
-    cutoffs = certified_cutoffs(narrow, labels, alpha, delta).withColumnRenamed("stratum", "_stratum")
+    cutoffs = certified_cutoffs(narrow, labels, alpha, delta, pooled).withColumnRenamed("stratum", "_stratum")
+    if pooled:
+        cutoffs = stage(cutoffs, "cutoffs")  # a row for each stratum
     judged = measured.join(cutoffs, F.col("stratum") == F.col("_stratum"), "left").withColumn("base_failed", base_failed())
+    if pooled:
+        rest = cutoffs.where("_stratum is null").agg(*[F.min(f"cut_{r}").alias(f"_rest_{r}") for r in CUTOFFS])  # one row
+        judged = judged.crossJoin(F.broadcast(rest)).withColumns({f"cut_{r}": F.when(F.col("_stratum").isNull(), F.col(f"_rest_{r}")).otherwise(F.col(f"cut_{r}")) for r in CUTOFFS})
     failed = F.filter(F.array(*[F.when(scores()[r] >= F.col(f"cut_{r}"), F.lit(r)) for r in CUTOFFS]), lambda r: r.isNotNull())
     judged = judged.withColumn("rejected_by", F.array_join(failed, ","))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("rejected_by") == ""))
 
 
-def apply_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+def apply_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, pooled: bool = False) -> DataFrame:
     """Measures, ``base_failed``, ``kept`` and ``rejected_by`` (names of the rules) of every row, beside ``doc_id`` and ``stratum``."""
     names = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by"]
-    return _judged(docs, labels, alpha, delta, []).select("doc_id", "stratum", *names)
+    return _judged(docs, labels, alpha, delta, [], pooled).select("doc_id", "stratum", *names)
 
 
-def filter_documents(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+def filter_documents(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, pooled: bool = False) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns; texts are measured where they lie and not shuffled."""
-    kept = _judged(docs, labels, alpha, delta, docs.columns).where("kept")
+    kept = _judged(docs, labels, alpha, delta, docs.columns, pooled).where("kept")
     return kept.select(*[F.col(f"_carried_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
@@ -150,3 +165,13 @@ k AS (SELECT *, count(*) OVER () AS strata FROM (SELECT stratum, count(*) AS n_g
 c AS (SELECT stratum, {cuts} FROM k),
 v AS (SELECT b.*, concat_ws(',', {', '.join(f"CASE WHEN {score[r]} >= cut_{r} THEN '{r}' END" for r in CUTOFFS)}) AS rejected_by FROM b LEFT JOIN c USING (stratum))
 SELECT doc_id, stratum, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rejected_by = '' AS kept, rejected_by FROM v"""
+
+
+def pooled_rules_sql(alpha: float = ALPHA, delta: float = DELTA) -> str:
+    """DuckDB SQL for ``apply_rules(documents, labels, pooled=True)``."""
+    rate, rules = alpha / len(CUTOFFS), len(CUTOFFS)
+    sums = ", ".join(f"sum({k})::BIGINT AS {k}" for k in ("n_good", *(f"k_{r}_{c}" for r, cs in CUTOFFS.items() for c in cs)))
+    own = f"CASE WHEN pow(1 - {rate!r}::DOUBLE, n_good) <= {delta!r}::DOUBLE / (strata * {rules}) THEN stratum END"
+    sql = rules_sql(alpha, delta).replace("k AS (SELECT *, count(*) OVER () AS strata", "e AS (SELECT *, count(*) OVER () + 1 AS strata")
+    sql = sql.replace("\nc AS (", f"\nk AS (SELECT {own} AS stratum, strata, {sums} FROM e GROUP BY 1, 2),\nc AS (")
+    return sql.replace("LEFT JOIN c USING (stratum)", "LEFT JOIN c ON c.stratum IS NOT DISTINCT FROM CASE WHEN b.stratum IN (SELECT stratum FROM c WHERE stratum IS NOT NULL) THEN b.stratum END")

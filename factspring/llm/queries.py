@@ -17,6 +17,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op1_quality_rules_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), pooled=True)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_languages(_table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_quality_rules": op1_quality_rules,
+    "op1_quality_rules_pooled": op1_quality_rules_pooled,
     "op2_language_id": op2_language_id,
     "op3_sharding": op3_sharding,
     "op4_near_dedup": op4_near_dedup,
@@ -100,6 +105,7 @@ cut AS (SELECT doc_id, z AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS
 kept AS (SELECT doc_id, string_agg(h[2 * cut.a + 1:2 * coalesce(cut.z, n)], '' ORDER BY cut.a) AS h FROM cut JOIN b USING (doc_id) GROUP BY doc_id)
 SELECT b.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, b.h))) AS kept_sha256 FROM b LEFT JOIN c USING (doc_id) LEFT JOIN kept USING (doc_id)""",
     "op1_quality_rules": quality_rules.rules_sql(),
+    "op1_quality_rules_pooled": quality_rules.pooled_rules_sql(),
     "op5_chat": chat.digest_sql().replace("FROM turns", """FROM (SELECT conv_id, turn, role, text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))"""),
     "op10_fingerprints": """

@@ -117,6 +117,25 @@ def test_rules_reject_what_labels_certify_and_no_more(spark):
     assert left.columns == frame(spark, rows).columns and {r.doc_id for r in left.collect()} == {i for i, r in out.items() if r.kept}
 
 
+def test_small_strata_are_certified_together(spark):
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(2000)]
+    rows, labels = [], []
+    for i in range(2000):
+        bad, lang = i % 5 == 0, ("de", "fr", "es", None)[i % 4]
+        rows.append((i, " ".join(rnd.choice(words) + "%%%" * (bad and j % 2) for j in range(40)), lang))
+        labels.append((i, 0 if bad else 1, None))
+    rows += [(2000 + i, " ".join(w + "%%%" * (i % 2) for w in rnd.sample(words, 40)), "xx") for i in range(10)]  # a language without labels
+    given = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    alone = quality_rules.apply_rules(frame(spark, rows), given).collect()
+    assert all(r.kept for r in alone)  # 400 good labels of a language certify nothing
+    gone = {*range(0, 2000, 5), *range(2001, 2010, 2)}
+    out = quality_rules.apply_rules(frame(spark, rows), given, pooled=True).collect()
+    assert {r.doc_id for r in out if not r.kept} == gone and len(out) == 2010
+    left = quality_rules.filter_documents(frame(spark, rows), given, pooled=True)
+    assert {r.doc_id for r in left.collect()} == {r[0] for r in rows} - gone
+
+
 # 2
 
 
