@@ -95,3 +95,50 @@ def passages_per_item(spark, sf_dir) -> DataFrame:
     asked = split("benchmark", "item_id").join(rare, "w")
     shared = asked.join(docs, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
     return top_in_group(shared, ["item_id"], [F.col("shared").desc(), F.col("doc_id")], 4).select("item_id", "doc_id", "shared", "place")
+
+
+_PASSAGE = 500  # characters after which a passage ends at its line's end
+
+
+def _cut(text):
+    """Passages: lines, trimmed and joined by spaces, to an empty line or until they are longer than ``_PASSAGE``."""
+
+    def add(x, line):
+        line = F.btrim(line, F.lit(" \t\r\x0b\x0c"))
+        buf = F.when(line == "", x["buf"]).when(x["buf"] == "", line).otherwise(F.concat(x["buf"], F.lit(" "), line))
+        ends = (buf != "") & ((line == "") | (F.length(buf) > _PASSAGE))
+        return F.struct(F.when(ends, F.concat(x["done"], F.array(buf))).otherwise(x["done"]).alias("done"), F.when(ends, F.lit("")).otherwise(buf).alias("buf"))
+
+    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("buf"))
+    return F.aggregate(F.split(text, "\n", -1), empty, add, lambda x: F.when(x["buf"] == "", x["done"]).otherwise(F.concat(x["done"], F.array(x["buf"]))))
+
+
+def best_passages(docs: DataFrame, items: DataFrame, k: int = 4, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """``item_id, doc_id, passage, score, place``: the ``k`` passages of highest BM25 score over all distinct words of each item; a passage that recurs in a row counts once."""
+    split = docs.select("doc_id", _cut(F.col("text")).alias("all"))
+    split = split.select("doc_id", "all", F.explode(F.array_distinct("all")).alias("t"))
+    split = split.select("doc_id", F.array_position("all", F.col("t")).cast("int").alias("passage"), figures.words(F.col("t")).alias("w")).withColumn("len", F.size("w"))
+    stats = split.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))  # one row
+    asked = items.select("item_id", F.explode(F.array_distinct(figures.words(F.col("text")))).alias("w"))
+    held = split.select("doc_id", "passage", "len", F.explode("w").alias("w")).join(asked.select("w").distinct(), "w", "left_semi").groupBy("doc_id", "passage", "len", "w").agg(F.count("*").alias("tf"))
+    known = held.groupBy("w").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats)).select("w", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
+    scored = held.join(asked.join(known, "w"), "w").groupBy("item_id", "doc_id", "passage").agg(F.round(F.sum(part), 9).alias("score"))
+    return top_in_group(scored, ["item_id"], [F.col("score").desc(), F.col("doc_id"), F.col("passage")], k).select("item_id", "doc_id", "passage", "score", "place")
+
+
+_GROWN = "CASE WHEN l.buf = '' THEN x.buf WHEN x.buf = '' THEN l.buf ELSE x.buf || ' ' || l.buf END"
+_ENDS = f"{_GROWN} <> '' AND (l.buf = '' OR length({_GROWN}) > {_PASSAGE})"
+
+
+@query("passages_bm25", f"""WITH c AS (SELECT row_number() OVER () AS r, doc_id, list_reduce(list_transform(string_split(text, chr(10)), lambda l: {{'done': []::VARCHAR[], 'buf': trim(l, ' ' || chr(9) || chr(11) || chr(12) || chr(13))}}),
+  lambda x, l: {{'done': CASE WHEN {_ENDS} THEN list_append(x.done, {_GROWN}) ELSE x.done END, 'buf': CASE WHEN {_ENDS} THEN '' ELSE {_GROWN} END}}, {{'done': []::VARCHAR[], 'buf': ''}}) AS x FROM documents WHERE text IS NOT NULL),
+a AS (SELECT r, doc_id, CASE WHEN x.buf = '' THEN x.done ELSE list_append(x.done, x.buf) END AS ps FROM c), u AS (SELECT r, doc_id, unnest(ps) AS t, unnest(range(1, len(ps) + 1)) AS i FROM a),
+p AS (SELECT doc_id, min(i)::INTEGER AS passage, list_filter(string_split_regex(lower(t), '[^a-z0-9]+'), lambda w: w <> '') AS ws FROM u GROUP BY r, doc_id, t), s AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM p),
+h AS (SELECT doc_id, passage, len, w, count(*) AS tf FROM (SELECT doc_id, passage, len(ws) AS len, unnest(ws) AS w FROM p) GROUP BY ALL), k AS (SELECT w, ln(1 + (n - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf, mean FROM h, s GROUP BY w, n, mean),
+q AS (SELECT DISTINCT item_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w <> '')) AS w FROM benchmark),
+b AS (SELECT item_id, doc_id, passage, round(sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))), 9) AS score FROM h JOIN k USING (w) JOIN q USING (w) GROUP BY ALL)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, passage)::INTEGER AS place FROM b) WHERE place <= 4""")
+def passages_bm25(spark, sf_dir) -> DataFrame:
+    """The four passages of highest BM25 score for each item, over all its words; no word is left out for being common."""
+    return best_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

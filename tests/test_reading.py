@@ -5,6 +5,7 @@ from factspring.ask.guard import refusal, run_read_only
 from factspring.ask.spec import translate
 from factspring.functions import figures, passages
 from factspring.operators import tables
+from factspring.plans.metrics import best_passages
 from factspring.quality.consensus import cluster
 from factspring.streaming import events
 
@@ -24,6 +25,15 @@ def test_years_units_and_slabs(spark):
     assert [tuple(r[2]) for r in rows] == [(101, 200), (300, None), (0, 50)]
 
 
+def test_passages_of_common_words_are_found(spark):
+    told = "the commission approves the claim"
+    docs = spark.createDataFrame([(d, f"Notes of day {d}\n\n {told} \n\n{told}\nagain" if d < 25 else "\n".join(["x" * 300] * 3) if d == 25 else None) for d in range(27)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "Approves the commission?"), (2, "x" * 300), (3, "unheard")], "item_id long, text string")
+    out = best_passages(docs, items).orderBy("item_id", "place").collect()
+    assert [(r.item_id, r.doc_id, r.passage, r.place) for r in out] == [*((1, d, 2, d + 1) for d in range(4)), (2, 25, 1, 1), (2, 25, 2, 2)]
+    assert all(r.score > 0 for r in out)
+
+
 def test_paragraphs_and_chunks():
     text = "ANNUAL REVENUE\n3.1 The Commission has\nlooked at it.\n1,200 34.5 (2)\n\n12\nIt approves the claim.\n(a) First item here"
     assert passages.paragraphs(text) == [("heading", "ANNUAL REVENUE"), ("text", "3.1 The Commission has looked at it."), ("text", "It approves the claim."), ("text", "(a) First item here")]
