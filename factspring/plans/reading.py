@@ -32,6 +32,22 @@ def unit_inference(spark, sf_dir) -> DataFrame:
     return pairs.groupBy("tab").agg(F.min("unit").alias("unit"), F.count_distinct("figure").alias("shared"), F.max("unit").alias("most")).where("unit = most").drop("most")
 
 
+@query("unit_evidence", """WITH f AS (SELECT DISTINCT l_orderkey AS tab, nullif(o_orderpriority, '5-LOW') AS unit, (l_partkey * 100 + l_quantity)::BIGINT AS figure FROM lineitem JOIN orders ON l_orderkey = o_orderkey), g AS (SELECT * FROM f WHERE abs(figure) >= 10000 AND figure % 100 <> 0)
+SELECT a.tab, min(b.unit) AS unit, count(DISTINCT a.figure) AS shared FROM g a JOIN g b ON a.figure = b.figure WHERE a.unit IS NULL AND b.unit IS NOT NULL GROUP BY a.tab HAVING count(DISTINCT b.unit) = 1 AND count(DISTINCT a.figure) >= 3""")
+def unit_evidence(spark, sf_dir) -> DataFrame:
+    """As ``unit_inference`` for figures in hundredths, by three or more distinctive ones (at least 100, not whole) that tables of one unit print. A figure meets others as its least and greatest unit, so none makes pairs, however many tables have it."""
+    units = table(spark, sf_dir, "orders").select("o_orderkey", F.expr("nullif(o_orderpriority, '5-LOW')").alias("unit"))
+    return borrowed_units(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("tab"), F.expr("cast(l_partkey * 100 + l_quantity as long)").alias("figure")).join(units, F.col("tab") == F.col("o_orderkey")))
+
+
+def borrowed_units(f: DataFrame) -> DataFrame:
+    """``tab, unit, shared`` of the tables without a unit among the lines ``tab, unit, figure`` (hundredths) that may borrow one."""
+    f = f.where("abs(figure) >= 10000 and figure % 100 <> 0")
+    known = f.where("unit is not null").groupBy("figure").agg(F.min("unit").alias("least"), F.max("unit").alias("most"))
+    hits = f.where("unit is null").select("tab", "figure").distinct().join(known, "figure").groupBy("tab").agg(F.min("least").alias("unit"), F.max("most").alias("most"), F.count("*").alias("shared"))
+    return hits.where("unit = most and shared >= 3").select("tab", "unit", "shared")
+
+
 _LABEL = "CASE p_partkey % 6 WHEN 0 THEN 'Power Purchase Cost' WHEN 1 THEN 'O & M Expenses' WHEN 2 THEN 'Net Revenue Requirement' WHEN 3 THEN 'Interest on loan' WHEN 4 THEN 'Depreciation' ELSE p_name END"
 
 

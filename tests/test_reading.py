@@ -6,6 +6,7 @@ from factspring.ask.spec import translate
 from factspring.functions import figures, passages
 from factspring.operators import tables
 from factspring.plans.metrics import best_passages
+from factspring.plans.reading import borrowed_units
 from factspring.quality.consensus import cluster
 from factspring.streaming import events
 
@@ -25,6 +26,14 @@ def test_years_units_and_slabs(spark):
     assert [tuple(r[2]) for r in rows] == [(101, 200), (300, None), (0, 50)]
 
 
+def test_units_are_borrowed_on_three_figures_however_common(spark):
+    common = [(t, "crore", f) for t in range(10) for f in (10001, 20002, 30003)]  # ten tables print each figure
+    asked = [(20, None, f) for f in (10001, 20002, 30003)] + [(21, None, f) for f in (10001, 20002)] + [(22, None, f) for f in (10001, 20002, 30003, 40004)]
+    plain = [(t, u, f) for t, u in ((11, "lakh"), (23, None)) for f in (101, 20000, 30000)]  # small or whole
+    df = spark.createDataFrame([*common, *asked, *asked, *plain, (12, "lakh", 40004)], "tab long, unit string, figure long")
+    assert [tuple(r) for r in borrowed_units(df).collect()] == [(20, "crore", 3)]
+
+
 def test_passages_of_common_words_are_found(spark):
     told = "the commission approves the claim"
     docs = spark.createDataFrame([(d, f"Notes of day {d}\n\n {told} \n\n{told}\nagain" if d < 25 else "\n".join(["x" * 300] * 3) if d == 25 else None) for d in range(27)], "doc_id long, text string")
