@@ -322,6 +322,17 @@ def test_repeated_passages_with_texts_and_without_rows(spark, docs, nothing):
     assert sorted((r.doc_id or 0, r.n_removed) for r in rows) == [(0, 0), (4, 0), (4, 0), (9, 80)]
 
 
+def test_blocks_are_told_apart_by_64_bits_and_length():
+    own = suffix_dedup.blocks([(1, 0, bytes(range(32, 127)) * 3)], 50, 20)
+    assert (own["b"] >> np.uint64(40)).any()
+    column = lambda *v: np.array(v, np.int64)
+    x = {"m": np.ones(5, np.uint64), "b": np.array([5, 5 + (1 << 40), 7, 7, 7], np.uint64), "doc": column(0, 1, 2, 3, 4), "at": column(0, 0, 0, 0, 0), "n": column(3, 3, 3, 4, 3)}
+    back = suffix_dedup._unpacked([suffix_dedup._packed(x)])
+    assert all((back[k] == x[k]).all() for k in x)
+    rows, repeated = suffix_dedup._sorted(back)
+    assert rows["doc"][repeated].tolist() == [4]
+
+
 def test_suffix_order():
     rnd = random.Random(2)
     data = np.frombuffer("".join(rnd.choice("ab") for _ in range(700)).encode() + bytes(8), np.uint8)
