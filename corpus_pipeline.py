@@ -13,8 +13,10 @@ MIN_SCORE = 0.5  # a language named with less certainty than any other two toget
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the network names; texts that are null or without letters, or whose best language has under ``MIN_SCORE``, go."""
+    """Documents whose language the network names; texts that are null or without letters, or whose best language has under ``MIN_SCORE``, go. Where no row names a language, all texts with letters stay."""
     model = language_id.train(docs, ~language_id.held_out(F.col("doc_id")))
+    if model is None:  # nothing could be learnt, so no language is held against a text
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     named = language_id.predict(docs, model).where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= MIN_SCORE))
     return named.select(*docs.columns)
 

@@ -21,7 +21,8 @@ WINDOW = 128  # bytes that the network sees at once
 HIDDEN = 8  # units of each direction
 SAMPLE = 400  # documents of each language that are trained on, at most about
 WINDOWS = 6  # windows taken from each of them, at places given by a hash
-LANGUAGES = 200  # learnt at most, the most frequent ones
+TOTAL, LEAST = 80_000, 20  # documents trained on over all languages, at most about, but for LEAST of each language
+AT_ONCE = 200  # languages of a batch; with more, batches take turns and windows are run fewer at once
 STEPS, BATCH, RATE = 240, 128, 0.02
 CHUNK = 1024  # windows run at once
 UNDETERMINED = "und"
@@ -101,8 +102,10 @@ class BiGru:
         by = [np.flatnonzero(labels == k) for k in range(len(self.languages))]
         first, second, losses = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2)), None, []
         m, s = first
+        steps = steps * max(len(by), AT_ONCE) // AT_ONCE
         for step in range(1, steps + 1):
-            rows = np.concatenate([rng.choice(b, -(-size // len(by))) for b in by if len(b)])
+            own = by if len(by) <= AT_ONCE else [by[k] for k in rng.choice(len(by), AT_ONCE, replace=False)]
+            rows = np.concatenate([rng.choice(b, -(-size // len(own))) for b in own if len(b)])
             loss, g = self.gradients(windows[rows].T, live[rows].T, labels[rows])
             losses.append(loss)
             now = rate * min(1.0, 2 * (1 - step / (steps + 1)))
@@ -173,15 +176,16 @@ def windowed(texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.n
 
 
 def _portion(docs: DataFrame, learnt: Column, sample: int, window: int, per_text: int) -> tuple[list[str], list[tuple[bytes, int]]]:
-    """Languages and training windows of at most about ``sample`` documents of each, chosen by a hash of id and text, so that copies are chosen apart."""
+    """Languages and training windows of at most about ``sample`` documents of each and ``TOTAL`` of all, chosen by a hash of id and text, so that copies are chosen apart."""
     usable = docs.where(learnt & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect()}
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     languages = sorted(counts)
     if not languages:
         return [], []
-    share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, sample / counts[k])))])
+    sample = min(sample, max(LEAST, TOTAL // len(languages)))
+    shares = docs.sparkSession.createDataFrame([(k, min(1.0, sample / counts[k])) for k in languages], "lang string, _share double")
     hashed = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
-    chosen = usable.where(F.col("lang").isin(languages)).where(hashed < F.element_at(share, F.col("lang")) * (1 << 40)).limit(2 * sample * len(languages))
+    chosen = usable.select("doc_id", "lang", "text").join(F.broadcast(shares), "lang").where(hashed < F.col("_share") * (1 << 40)).limit(2 * sample * len(languages))
     place = lambda k: F.pmod(F.xxhash64("text", F.lit(k)), F.greatest(F.lit(1), F.length("text") - window)).cast("int") + 1
     pieces = chosen.select("lang", F.explode(F.array(*[F.col("text").substr(place(k), F.lit(window)) for k in range(per_text)])).alias("piece"))
     rows = sorted((r["lang"], r["piece"].encode()[:window]) for r in pieces.collect())
@@ -207,6 +211,7 @@ def _predictor(model: BiGru | None, schema):
             texts, lettered = utf8(given.column("whole")), given.column("lettered").to_pylist()
             langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
             known = [i for i, ok in enumerate(lettered) if ok and model]
+            chunk = max(1, CHUNK * AT_ONCE // max(AT_ONCE, len(model.languages))) if model else CHUNK
             a = size = 0
             for b, i in enumerate(known, 1):
                 size += len(texts[i])
@@ -214,8 +219,8 @@ def _predictor(model: BiGru | None, schema):
                     own = known[a:b]
                     x, live, owner = windowed([texts[j] for j in own])
                     sums = np.zeros((len(own), len(model.languages)))
-                    for c in range(0, len(x), CHUNK):
-                        np.add.at(sums, owner[c : c + CHUNK], model.pooled(np.ascontiguousarray(x[c : c + CHUNK].T), np.ascontiguousarray(live[c : c + CHUNK].T)))
+                    for c in range(0, len(x), chunk):
+                        np.add.at(sums, owner[c : c + chunk], model.pooled(np.ascontiguousarray(x[c : c + chunk].T), np.ascontiguousarray(live[c : c + chunk].T)))
                     sums /= sums.sum(1, keepdims=True)
                     for j, p in zip(own, sums):
                         langs[j], scores[j] = model.languages[int(p.argmax())], float(p.max())

@@ -181,6 +181,22 @@ def test_no_languages_and_no_rows(spark, nothing):
     assert named.columns == [*(c for c in rows.columns if c != "score"), "lang_pred", "score"] and {r["a.b"] for r in named.collect()} == {"x"}
 
 
+def test_every_language_is_learnt(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "TOTAL", 230)
+    rows = frame(spark, [(2 * i + j, f"text {i} of a language", f"l{i:03}") for i in range(230) for j in range(2)])
+    languages, pieces = language_id._portion(rows, F.lit(True), 400, 32, 1)
+    assert languages == [f"l{i:03}" for i in range(230)] and {k for _, k in pieces} == set(range(230))
+    named = language_id.predict(rows, language_id.BiGru(languages)).collect()
+    assert len(named) == 460 and all(r.lang_pred in languages for r in named)
+
+
+def test_lettered_texts_stay_where_no_language_is_named(spark):
+    import corpus_pipeline
+
+    rows = frame(spark, [(1, "hello", None), (2, None, None), (3, "12 3", None)])
+    assert [r.doc_id for r in corpus_pipeline.by_language(spark, rows, "").collect()] == [1]
+
+
 # 3
 
 
