@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,27 +24,34 @@ WINDOWS = 6  # windows taken from each of them, at places given by a hash
 TOTAL, LEAST = 80_000, 20  # documents trained on over all languages, at most about, but for LEAST of each language
 AT_ONCE = 200  # languages of a batch; with more, batches take turns and windows are run fewer at once
 STEPS, BATCH, RATE = 240, 128, 0.02
-CHUNK = 1024  # windows run at once
+CHUNK = 2048  # windows run at once
 UNDETERMINED = "und"
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def _squash(x: np.ndarray) -> np.ndarray:
+    """x / (1 + |x|), which bounds gates and candidates here: its slope is (1 - |y|)**2, and it costs a sixth of a tanh."""
+    return x / (1 + np.abs(x))
+
+
+def _slope(y: np.ndarray) -> np.ndarray:
+    return (1 - np.abs(y)) ** 2
 
 
 class BiGru:
-    """Parameters by name: for both directions input (2, 256, 3H), recurrent (2, H, 3H); out (2H, K) and its bias.
+    """Parameters by name: for both directions and the three gates (update, reset, candidate) input (2, 3, 256, H) and
+    recurrent (2, 3, H, H); out (2H, K) and its bias.
 
-    Gates are laid out as update, reset, candidate; a state is update * state + (1 - update) * candidate.
+    Update and reset are (1 + squash) / 2 of their inputs, the candidate is a squash; a state is
+    update * state + (1 - update) * candidate.
     """
 
     def __init__(self, languages: list[str], hidden: int = HIDDEN, seed: int = 0):
         rng = np.random.default_rng(seed)
         self.languages, self.hidden = languages, hidden
         scale = lambda *s: (rng.standard_normal(s) * 0.3).astype(np.float32)
-        self.p = {"input": scale(2, 256, 3 * hidden), "recurrent": scale(2, hidden, 3 * hidden), "out": scale(2 * hidden, len(languages)), "bias": np.zeros(len(languages), np.float32)}
+        self.p = {"input": scale(2, 3, 256, hidden), "recurrent": scale(2, 3, hidden, hidden), "out": scale(2 * hidden, len(languages)), "bias": np.zeros(len(languages), np.float32)}
 
     def forward(self, x: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, list]:
         """x, live: (T, n). Probabilities (T, n, K) and what backpropagation needs."""
@@ -52,14 +59,13 @@ class BiGru:
         h = self.hidden
         states, kept = np.zeros((2, t, n, h), np.float32), [[], []]
         for d in (0, 1):
-            state = np.zeros((n, h), np.float32)
+            state, given, weights = np.zeros((n, h), np.float32), self.p["input"][d], self.p["recurrent"][d]
             for i in range(t) if d == 0 else range(t - 1, -1, -1):
-                given, own = self.p["input"][d][x[i]], state @ self.p["recurrent"][d]
-                gates = _sigmoid(given[:, : 2 * h] + own[:, : 2 * h])
-                update, reset = gates[:, :h], gates[:, h:]
-                candidate = np.tanh(given[:, 2 * h :] + reset * own[:, 2 * h :])
-                new = (update * state + (1 - update) * candidate) * live[i][:, None]
-                kept[d].append((i, state, update, reset, candidate, own[:, 2 * h :]))
+                update, reset = (_squash(given[k][x[i]] + state @ weights[k]) for k in (0, 1))
+                own = state @ weights[2]
+                candidate = _squash(given[2][x[i]] + 0.5 * (1 + reset) * own)
+                new = (candidate + 0.5 * (1 + update) * (state - candidate)) * live[i][:, None]
+                kept[d].append((i, state, update, reset, candidate, own))
                 state = states[d, i] = new
         both = np.concatenate(states, -1)
         logits = both @ self.p["out"] + self.p["bias"]
@@ -80,20 +86,25 @@ class BiGru:
         g["out"], g["bias"] = both.reshape(-1, 2 * h).T @ flat, flat.sum(0)
         above = error @ self.p["out"].T
         for d in (0, 1):
+            weights = self.p["recurrent"][d]
             carried, ins, codes = np.zeros((x.shape[1], h), np.float32), [], []
             for i, state, update, reset, candidate, own in reversed(kept[d]):
                 grad = (above[i, :, d * h : (d + 1) * h] + carried) * live[i][:, None]
-                to_candidate = grad * (1 - update) * (1 - candidate**2)
-                to_gates = np.concatenate([grad * (state - candidate) * update * (1 - update), to_candidate * own * reset * (1 - reset)], 1)
-                to_own = np.concatenate([to_gates, to_candidate * reset], 1)
-                g["recurrent"][d] += state.T @ to_own
-                carried = grad * update + to_own @ self.p["recurrent"][d].T
-                ins.append(np.concatenate([to_gates, to_candidate], 1))
+                keep = 0.5 * (1 + update)
+                to_candidate = grad * (1 - keep) * _slope(candidate)
+                to_update = 0.5 * grad * (state - candidate) * _slope(update)
+                to_reset = 0.5 * to_candidate * own * _slope(reset)
+                to_own = (to_update, to_reset, to_candidate * 0.5 * (1 + reset))
+                carried = grad * keep
+                for k in range(3):
+                    g["recurrent"][d, k] += state.T @ to_own[k]
+                    carried += to_own[k] @ weights[k].T
+                ins.append(np.stack([to_update, to_reset, to_candidate], 1))
                 codes.append(x[i])
             codes, ins = np.concatenate(codes), np.concatenate(ins)
             order = np.argsort(codes, kind="stable")
             lead = np.flatnonzero(np.diff(codes[order], prepend=-1))
-            g["input"][d][codes[order][lead]] = np.add.reduceat(ins[order], lead)
+            g["input"][d][:, codes[order][lead]] = np.add.reduceat(ins[order], lead).transpose(1, 0, 2)
         return loss, g
 
     def train(self, windows: np.ndarray, live: np.ndarray, labels: np.ndarray, steps: int = STEPS, size: int = BATCH, rate: float = RATE, seed: int = 1) -> list[float]:
@@ -118,47 +129,61 @@ class BiGru:
         return losses
 
     def pooled(self, x: np.ndarray, live: np.ndarray) -> np.ndarray:
-        """Sums of the positions' probabilities of each window, (n, K), for x, live of (T, n). As ``forward``, in fewer passes over memory."""
+        """Sums of the positions' probabilities of each window, (n, K), for x, live of (T, n).
+
+        As ``forward``, both directions at once. Every gate has arrays of its own, so that each pass runs over memory
+        without gaps; probabilities lie language by language for the same reason.
+        """
         t, n = x.shape
         h = self.hidden
-        half = np.ones(3 * h, np.float32)
-        half[: 2 * h] = 0.5  # a sigmoid is a tanh of half the input
-        given = self.p["input"] * half
-        own_weights = self.p["recurrent"] * 0.5
-        states = np.empty((t, 2, n, h), np.float32)
-        state, gates, own = np.zeros((2, n, h), np.float32), np.empty((2, n, 3 * h), np.float32), np.empty((2, n, 3 * h), np.float32)
-        partial = ~live.all(1)
+        weights = np.ascontiguousarray(self.p["recurrent"].transpose(1, 0, 2, 3))
+        weights = np.stack([weights[0], weights[1], 0.5 * weights[2]])
+        given = self.p["input"]
+        states = np.empty((2, t, n, h), np.float32)
+        state, scratch = np.zeros((2, n, h), np.float32), np.empty((2, n, h), np.float32)
+        gates, own = np.empty((3, 2, n, h), np.float32), np.empty((3, 2, n, h), np.float32)
+        update, reset, candidate = gates
+        whole = live.all(1)
+        x = x.astype(np.intp)
+
+        def squash(y: np.ndarray) -> None:
+            np.abs(y, out=scratch)
+            np.add(scratch, 1, out=scratch)
+            np.divide(y, scratch, out=y)
+
         for i in range(t):
-            np.take(given[0], x[i], axis=0, out=gates[0], mode="clip")
-            np.take(given[1], x[t - 1 - i], axis=0, out=gates[1], mode="clip")
-            np.matmul(state, own_weights, out=own)
-            zr = gates[..., : 2 * h]
-            zr += own[..., : 2 * h]
-            np.tanh(zr, out=zr)
-            zr += 1  # twice the sigmoid
-            candidate = own[..., 2 * h :]
-            candidate *= zr[..., h:]
-            candidate += gates[..., 2 * h :]
-            np.tanh(candidate, out=candidate)
+            for k in range(3):
+                np.take(given[0, k], x[i], axis=0, out=gates[k, 0], mode="clip")
+                np.take(given[1, k], x[t - 1 - i], axis=0, out=gates[k, 1], mode="clip")
+                np.matmul(state, weights[k], out=own[k])
+            reset += own[1]
+            squash(reset)
+            reset += 1
+            reset *= own[2]
+            candidate += reset
+            squash(candidate)
+            update += own[0]
+            squash(update)
+            update += 1
+            update *= 0.5
             state -= candidate
-            zr[..., :h] *= 0.5
-            state *= zr[..., :h]
+            state *= update
             state += candidate
-            if partial[i]:
+            if not whole[i]:
                 state[0] *= live[i][:, None]
-            if partial[t - 1 - i]:
+            if not whole[t - 1 - i]:
                 state[1] *= live[t - 1 - i][:, None]
-            states[i, 0], states[t - 1 - i, 1] = state
-        logits = states[:, 0].reshape(-1, h) @ self.p["out"][:h]
-        logits += states[:, 1].reshape(-1, h) @ self.p["out"][h:]
-        logits += self.p["bias"]
+            states[0, i], states[1, t - 1 - i] = state
+        logits = self.p["out"][:h].T @ states[0].reshape(-1, h).T
+        logits += self.p["out"][h:].T @ states[1].reshape(-1, h).T
+        logits += self.p["bias"][:, None]
         np.clip(logits, -60, 60, out=logits)
         np.exp(logits, out=logits)
-        logits /= logits.sum(1, keepdims=True)
-        logits = logits.reshape(t, n, -1)
-        if partial.any():
-            logits *= live[..., None]
-        return logits.sum(0)
+        logits /= logits.sum(0)
+        logits = logits.reshape(-1, t, n)
+        if not whole.all():
+            logits *= live
+        return logits.sum(1).T
 
 
 def windowed(texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,7 +201,11 @@ def windowed(texts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.n
 
 
 def _portion(docs: DataFrame, learnt: Column, sample: int, window: int, per_text: int) -> tuple[list[str], list[tuple[bytes, int]]]:
-    """Languages and training windows of at most about ``sample`` documents of each and ``TOTAL`` of all, chosen by a hash of id and text, so that copies are chosen apart."""
+    """Languages and training windows of at most about ``sample`` documents of each and ``TOTAL`` of all.
+
+    Chosen by the least hashes of id and text, so that copies are chosen apart, repeated rows once, and whatever the
+    order of tasks the same.
+    """
     usable = docs.where(learnt & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     languages = sorted(counts)
@@ -185,7 +214,9 @@ def _portion(docs: DataFrame, learnt: Column, sample: int, window: int, per_text
     sample = min(sample, max(LEAST, TOTAL // len(languages)))
     shares = docs.sparkSession.createDataFrame([(k, min(1.0, sample / counts[k])) for k in languages], "lang string, _share double")
     hashed = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
-    chosen = usable.select("doc_id", "lang", "text").join(F.broadcast(shares), "lang").where(hashed < F.col("_share") * (1 << 40)).limit(2 * sample * len(languages))
+    near = usable.select("lang", "text", hashed.alias("_hash")).join(F.broadcast(shares), "lang").where(F.col("_hash") < F.col("_share") * (1 << 40))  # ``sample`` of a language are expected
+    near = near.groupBy("lang", "_hash").agg(F.min("text").alias("text"))
+    chosen = near.withColumn("_place", F.row_number().over(Window.partitionBy("lang").orderBy("_hash"))).where(F.col("_place") <= 2 * sample)
     place = lambda k: F.pmod(F.xxhash64("text", F.lit(k)), F.greatest(F.lit(1), F.length("text") - window)).cast("int") + 1
     pieces = chosen.select("lang", F.explode(F.array(*[F.col("text").substr(place(k), F.lit(window)) for k in range(per_text)])).alias("piece"))
     rows = sorted((r["lang"], r["piece"].encode()[:window]) for r in pieces.collect())
