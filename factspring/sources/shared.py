@@ -2,39 +2,49 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Shuffle files behind a table that was written go at once; nothing reads them again.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_written: list[str] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset the context's checkpoint folder, else one in the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        own = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if own.isDefined():
-            return own.get()
-        folder = tempfile.mkdtemp(prefix="factspring-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
+    if folder:
+        return folder
+    own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return own.get() if own.isDefined() else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
 
-def stage(df: DataFrame, name: str, release: bool = True) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation of what came before.
 
-    With ``release`` the shuffle files behind the written table go to Spark's cleaner at once; small tables needn't wait for it.
-    """
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor costs no recomputation of what came before."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    del df
-    if release:
-        gc.collect()
-        for _ in range(2):  # the first may come while an event still holds the plan
-            spark.sparkContext._jvm.System.gc()
-            time.sleep(0.2)
-    return spark.read.schema(schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    _written.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside the ``with`` block are removed at its end; results are read lazily, so write them inside it."""
+    first = len(_written)
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _written[first:]:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+        del _written[first:]
