@@ -426,6 +426,39 @@ def test_tree_concatenation(path, leaf):
         assert [t[0] for t in bpe.tree_encode(library, text, leaf)] == library.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.sampled_from("ab'sterdmlv <|>1.,!éßか🙂"), max_size=120), st.integers(1, 9))
+def test_tree_concatenation_from_the_smallest_leaves(text, leaf):
+    library = bpe.load(WORD)
+    assert [t[0] for t in bpe.tree_encode(library, text, leaf)] == library.encode(text, add_special_tokens=False).ids
+
+
+def test_texts_are_encoded_by_joins(spark):
+    """Whole documents as the library encodes and decodes them, each of more than a leaf by joining its halves."""
+    given = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()] + odd_texts()
+    library, own = bpe.load(WORD), bpe.RunEncoder(WORD)
+    for text, (n, ids, decoded) in zip(given, own.encode(given)):
+        expected = library.encode(text, add_special_tokens=False).ids
+        assert (n, ids, decoded) == (len(expected), " ".join(map(str, expected)).encode(), library.decode(expected, skip_special_tokens=False).encode())
+    assert own.joins == sum(len(bpe.halves(len(t), bpe.LEAF)) - 2 for t in given) > len(given) and own.windows >= own.joins
+
+
+def test_other_files_go_through_the_library():
+    own, library = bpe.RunEncoder(BYTE), bpe.load(BYTE)
+    assert not own.splits
+    for text, (n, ids, decoded) in zip(odd_texts(), own.encode(odd_texts())):
+        expected = library.encode(text, add_special_tokens=False).ids
+        assert ids == " ".join(map(str, expected)).encode() and decoded == library.decode(expected, skip_special_tokens=False).encode()
+
+
+def test_the_memo_is_bounded_by_bytes(monkeypatch):
+    own = bpe.RunEncoder(WORD)
+    monkeypatch.setattr(bpe, "MEMO", 4000)
+    for i in range(20):
+        list(own.encode([f"word{i}{j} " * 3 for j in range(10)]))
+        assert own.held <= 4000 + 10 * 2 * (bpe.EACH + 200) and len(own.ids) == len(own.tokens)
+
+
 def test_encoded_documents(docs, nothing):
     library = bpe.load(WORD)
     out = bpe.encode_documents(docs, WORD).collect()
