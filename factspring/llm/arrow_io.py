@@ -28,7 +28,8 @@ _TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolea
 def batch(schema: str | T.StructType, *columns) -> pa.RecordBatch:
     """A record batch of numpy arrays, lists or Arrow arrays."""
     fields = pa.schema([(n, _TYPES[t]) for n, t in map(str.split, schema.split(", "))]) if isinstance(schema, str) else to_arrow_schema(schema)
-    return pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type) for c, f in zip(columns, fields)], schema=fields)
+    plain = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
+    return pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(plain, fields)], schema=fields)
 
 
 def lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:

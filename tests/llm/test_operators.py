@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from factspring.llm import bpe, byte_bpe, chat, fingerprints, language_id, near_dedup, packing, quality_rules, sharding, suffix_dedup, token_counts
+from factspring.llm import bpe, byte_bpe, bytehash, chat, fingerprints, language_id, near_dedup, packing, quality_rules, sharding, suffix_dedup, token_counts
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 #: Extra columns have names that the operators use inside.
@@ -339,14 +339,49 @@ def test_repeated_passages_with_texts_and_without_rows(spark, docs, nothing):
 
 
 def test_blocks_are_told_apart_by_64_bits_and_length():
-    own = suffix_dedup.blocks([(1, 0, bytes(range(32, 127)) * 3)], 50, 20)
+    own, _ = suffix_dedup.blocks([(1, 0, 0, bytes(range(32, 127)) * 3)], 50, 20)
     assert (own["b"] >> np.uint64(40)).any()
     column = lambda *v: np.array(v, np.int64)
-    x = {"m": np.ones(5, np.uint64), "b": np.array([5, 5 + (1 << 40), 7, 7, 7], np.uint64), "doc": column(0, 1, 2, 3, 4), "at": column(0, 0, 0, 0, 0), "n": column(3, 3, 3, 4, 3)}
+    x = {"m": np.ones(5, np.uint64), "b": np.array([5, 5 + (1 << 40), 7, 7, 7], np.uint64), "doc": column(0, 1, 2, 3, 4), "v": column(0, 1 << 40, 0, 9, 0), "at": column(0, 0, 0, 0, 0), "n": column(3, 3, 3, 4, 3)}
     back = suffix_dedup._unpacked([suffix_dedup._packed(x)])
     assert all((back[k] == x[k]).all() for k in x)
-    rows, repeated = suffix_dedup._sorted(back)
-    assert rows["doc"][repeated].tolist() == [4]
+    rows, lead, repeated = suffix_dedup._sorted(back)
+    assert rows["doc"][repeated].tolist() == [4] and rows["doc"][lead[repeated]].tolist() == [2]
+
+
+def test_blocks_with_one_hash_are_compared_by_bytes(spark, docs, monkeypatch):
+    """With hashes of two bits nearly all blocks collide; each failed comparison asks for another multiplier, and none is believed."""
+    sound, seeds = suffix_dedup.blocks, []
+
+    def weak(pieces, length, gram, seed=0):
+        x, data = sound(pieces, length, gram, seed)
+        return (x | {"b": x["b"] & np.uint64(3)} if seed < 2 else x), data
+
+    split = suffix_dedup.split_blocks
+    monkeypatch.setattr(suffix_dedup, "split_blocks", lambda parts, length, gram, seed=0: seeds.append(seed) or split(parts, length, gram, seed))
+    monkeypatch.setattr(suffix_dedup, "blocks", weak)
+    folded = spark.createDataFrame([(d, "".join(x if i % 97 else chr(97 + (d + i) % 26) for i, x in enumerate("abcdefghijklmnopqrstuvwxyz" * 12))) for d in range(12)], "doc_id long, text string")
+    given = [(r.doc_id, r.text) for r in folded.collect()]
+    out = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup_passages(folded).collect()}
+    assert out == passages(given) and seeds == [0, 1, 2]
+
+
+def test_texts_that_collide_modulo_a_power_of_two(spark):
+    word = "a"
+    for _ in range(12):
+        word += word.translate({97: 98, 98: 97})
+    given = [(i, (word[:n].translate({97: 98, 98: 97}) if i % 2 else word[:n]) + tail) for i, (n, tail) in enumerate((n, t) for n in (1024, 2048, 4096) for t in ("", "", " one two three four five six"))]
+    out = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup_passages(spark.createDataFrame(given, "doc_id long, text string")).collect()}
+    assert out == passages(given)
+    linked = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.link_documents(spark.createDataFrame(given, "doc_id long, text string")).collect()}
+    assert linked == links(given)
+
+
+def test_products_modulo_the_prime():
+    rnd = random.Random(1)
+    pairs = [(rnd.randrange(bytehash.PRIME), rnd.randrange(bytehash.PRIME)) for _ in range(3000)] + [(bytehash.PRIME - 1, bytehash.PRIME - 1), (0, 5), (1, bytehash.PRIME - 1)]
+    made = bytehash.multiply(*(np.array(x, np.uint64) for x in zip(*pairs)))
+    assert made.tolist() == [a * b % bytehash.PRIME for a, b in pairs]
 
 
 def test_suffix_order():
