@@ -94,10 +94,23 @@ class Prefix:
     def hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix(self.raw(a, b))
 
-    def grams(self, k: int) -> np.ndarray:
-        """Hash of each k bytes, by their start."""
-        n = len(self.sums) - k
-        return mix(self._between(self.sums[:-k], self.sums[k:], self._down[:n])) if n > 0 else np.zeros(0, U)
+
+_wrapping = [np.ones(1, U), np.ones(1, U)]
+
+
+def grams(data: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each k bytes, by their start. Modulo 2**64, so cheap: it chooses substrings and places, and says nothing of equality."""
+    if len(_wrapping[0]) < len(data):
+        for i, base in enumerate((6364136223846793005, pow(6364136223846793005, -1, 1 << 64))):
+            out = np.full(max(len(data), 1 << 16), base, U)
+            out[0] = 1
+            _wrapping[i] = np.multiply.accumulate(out)
+    n = len(data) - k + 1
+    if n <= 0:
+        return np.zeros(0, U)
+    sums = np.zeros(len(data) + 1, U)
+    np.cumsum(_base(0).table[data] * _wrapping[0][: len(data)], out=sums[1:])
+    return mix((sums[k:] - sums[:-k]) * _wrapping[1][:n])
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
