@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow_io import batch, lists, tidy, utf8
@@ -152,21 +152,53 @@ def _shingle_rows(words: int):
     return run
 
 
+SALTS = 64  # shares that a hot key's rows are dealt to
+
+
+def _salt(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(SALTS))
+
+
 PAIR_SCHEMA = "a long, b long, common long, linked boolean"
 
 
+def common_shingles(x: list[bytes], y: list[bytes], words: int) -> tuple[int, int, int]:
+    """Distinct shingles of two lists of words, and those that both have. Words are numbered, so equal numbers mean equal words; no hash decides."""
+    number = {w: i for i, w in enumerate(dict.fromkeys(x + y))}
+    codes, sizes = [], []
+    for own in (x, y):
+        codes.append(np.fromiter(map(number.__getitem__, own), np.int64, len(own)))
+        sizes.append(len(own))
+    if min(sizes) < words:  # a short text is one shingle, equal to nothing but itself
+        same = x == y
+        return *(1 if 0 < n < words else len(set(zip(*(own[i:] for i in range(words))))) for n, own in zip(sizes, (x, y))), int(same)
+    base = len(number)
+    code, limit = np.concatenate(codes), base
+    inside = np.concatenate([np.arange(n) for n in sizes])
+    at = np.flatnonzero(inside <= np.repeat(sizes, sizes) - words)
+    full = code[at]
+    for j in range(1, words):
+        if limit > (1 << 62) // base:  # numbered anew, so that they stay small
+            _, full = np.unique(full, return_inverse=True)
+            limit = len(full)
+        full, limit = full * base + code[at + j], limit * base
+    cut = sizes[0] - words + 1
+    a, b = np.unique(full[:cut]), np.unique(full[cut:])
+    return len(a), len(b), len(np.intersect1d(a, b, assume_unique=True))
+
+
 def _compared(words: int, per_cent: int):
     """Size of the intersection of a pair's full sets, and whether they have the similarity; a text that recurs in neighbouring rows is cut once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for given in batches:
-            common, linked, known, known_set = [], [], None, np.zeros(0, U)
-            for x, y in zip(utf8(given.column("text_a")), utf8(given.column("text_b"))):
+            common, linked, known, known_words = [], [], None, []
+            for x, y in zip(utf8(given.column("text_hub")), utf8(given.column("text"))):
                 if x != known:
-                    known, known_set = x, shingle_sets([x], words)[0]
-                other = shingle_sets([y], words)[0]
-                common.append(len(np.intersect1d(known_set, other, assume_unique=True)))
-                linked.append(100 * common[-1] >= per_cent * (len(known_set) + len(other) - common[-1]))
+                    known, known_words = x, x.translate(_LOWER).split()
+                n, m, both = common_shingles(known_words, y.translate(_LOWER).split(), words)
+                common.append(both)
+                linked.append(100 * both >= per_cent * (n + m - both))
             yield batch(PAIR_SCHEMA, given.column("a"), given.column("b"), common, linked)
 
     return run
@@ -197,7 +229,9 @@ def link_documents(docs: DataFrame, per_cent: int = SIMILARITY, words: int = WOR
     candidates. Of a candidate's shingles only those that another candidate has can lie in an intersection, which
     bounds its similarity to anything and drops most chance candidates before a pair is made. Of each bucket the
     document with the largest such share is compared with all others; where a bucket then still holds several
-    components, so are its pairs across components that the bounds allow. Pairs inside a component never are.
+    components, so are its pairs across components that the bounds allow. Pairs inside a component never are. Pairs are
+    compared word by word; that documents have one set is read from 128 bits of the 64-bit hashes of their shingles,
+    made from words hashed modulo a prime.
 
     A null or empty text has no shingles and is linked with nothing. Rows with one doc_id are one document. A row
     with a null doc_id is linked with nothing, has a null component and is kept.
@@ -224,8 +258,11 @@ def link_documents(docs: DataFrame, per_cent: int = SIMILARITY, words: int = WOR
     possible = lambda x, y: F.expr(f"100 * least({x}.n, {y}.n) >= {per_cent} * greatest({x}.n, {y}.n) and (100 + {per_cent}) * least({x}.can, {y}.can) >= {per_cent} * ({x}.n + {y}.n)")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        return pairs.select("a", "b", "text_a", "text_b").mapInArrow(tidy(_compared(words, per_cent)), PAIR_SCHEMA)
+        """Pairs ``a, b`` compared by their texts. The text of ``hub``, one of the two, goes once to each share of its pairs."""
+        pairs = pairs.withColumn("doc_id", F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a"))).withColumn("salt", _salt("doc_id"))
+        hubs = pairs.select("hub", "salt").distinct().join(texts.select(F.col("doc_id").alias("hub"), F.col("text").alias("text_hub")), "hub")
+        both = pairs.join(texts, "doc_id").join(hubs, ["hub", "salt"])
+        return both.select("a", "b", "text_hub", "text").mapInArrow(tidy(_compared(words, per_cent)), PAIR_SCHEMA)
 
     # a group's centre shares most buckets with most documents, so it is compared first
     weight = bounded.join(bounded.groupBy("band").agg(F.count("*").alias("c")), "band").groupBy("node").agg(F.sum("c").alias("weight"))
@@ -233,8 +270,8 @@ def link_documents(docs: DataFrame, per_cent: int = SIMILARITY, words: int = WOR
     hub = bounded.groupBy("band").agg(F.max(F.struct("weight", (-F.col("node")).alias("less"), "n", "can")).alias("h"))
     hub = hub.select("band", (-F.col("h.less")).alias("node"), "h.n", "h.can")
     pairs = bounded.alias("x").join(hub.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.node") != F.col("y.node")) & possible("x", "y"))
-    pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-    tested = stage(verified(stage(pairs.distinct(), "hub-pairs")), "hub-verified")
+    pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.col("y.node").alias("hub"))
+    tested = stage(verified(stage(pairs.groupBy("a", "b").agg(F.min("hub").alias("hub")), "hub-pairs")), "hub-verified")
     edges = tested.where("linked").select("a", "b")
     grouped = components(edges)
 
@@ -257,11 +294,14 @@ def link_documents(docs: DataFrame, per_cent: int = SIMILARITY, words: int = WOR
     near = F.expr(f"(100 + {per_cent}) * (least(x.inside, y.inside) + least(x.outside, y.outside)) >= {per_cent} * (x.n + y.n) and array_min(array_intersect(x.bands, y.bands)) = x.band")  # a pair is made in one band
     cross = mixed.alias("x").join(mixed.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.component") < F.col("y.component")) & possible("x", "y") & near)
     cross = cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    more = stage(verified(stage(cross, "cross-pairs")), "cross-verified").where("linked").select("a", "b")
+    more = stage(verified(stage(cross.withColumn("hub", F.col("a")), "cross-pairs")), "cross-verified").where("linked").select("a", "b")
     if more.limit(1).count():
         grouped = components(edges.union(more))
 
-    of_set = sketched.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("node")).join(grouped, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
-    out = sketched.select("doc_id", "n_shingles", "set_key").join(of_set, "set_key", "left")
+    # a set that many documents have is dealt out by document: each share learns the component apart
+    by_set = sketched.where("n_shingles > 0").groupBy("set_key", _salt("doc_id").alias("salt")).agg(F.min("doc_id").alias("least"))
+    by_set = by_set.withColumn("node", F.min("least").over(Window.partitionBy("set_key")))  # a row for each share
+    of_set = by_set.join(grouped, "node", "left").select("set_key", "salt", F.coalesce("component", "node").alias("component_id"))
+    out = sketched.select("doc_id", "n_shingles", "set_key", _salt("doc_id").alias("salt")).join(of_set, ["set_key", "salt"], "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

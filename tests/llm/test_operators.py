@@ -269,6 +269,19 @@ def test_a_crowd_of_near_copies(spark):
     assert out == links([(d, t) for d, t, _ in rows])
 
 
+WORDS_OF = st.lists(st.sampled_from([b"a", b"b", b"c"]), max_size=30)
+
+
+@settings(max_examples=60, deadline=None)
+@given(WORDS_OF, WORDS_OF)
+def test_shingles_are_compared_word_by_word(x, y):
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set() for w in (x, y)]
+    if x and y:
+        assert near_dedup.common_shingles(x, y, 5) == (len(sets[0]), len(sets[1]), len(sets[0] & sets[1]))
+        many = [b"%d" % i for i in range(9000)]
+        assert near_dedup.common_shingles(many + x, many + y, 5)[2] == len({tuple((many + x)[i : i + 5]) for i in range(len(x) + 8996)} & {tuple((many + y)[i : i + 5]) for i in range(len(y) + 8996)})
+
+
 # 5
 
 PIECES = st.sampled_from([*chat.Template().controls(), "\\", "<", "[", "/", "s>", " ", "\n", "a", "é", "🙂", "<<", "]", "INST"])
