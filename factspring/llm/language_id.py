@@ -261,10 +261,13 @@ def _predictor(model: BiGru | None, schema):
     return run
 
 
-def predict(docs: DataFrame, model: BiGru | None) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (in place of columns of these names; mean probability over all bytes); ``und`` and 0 for a text that is null or has no letters, or without a model."""
+def predict(docs: DataFrame, model: BiGru | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with two columns more (in place of columns of these ``names``): language and mean probability over all bytes; ``und`` and 0 for a text that is null or has no letters, or without a model.
+
+    Of languages with equal probability the first by name counts. Rows are independent: repeated rows get equal answers.
+    """
     ship(docs.sparkSession)
-    schema = T.StructType([f for f in docs.schema.fields if f.name not in ("lang_pred", "score")] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([f for f in docs.schema.fields if f.name not in names] + [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     carried = [F.col(f"`{f.name}`").alias(f"carried_{i}") for i, f in enumerate(schema.fields[:-2])]
     given = docs.select(*carried, F.coalesce("text", F.lit("")).alias("whole"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
     return given.mapInArrow(tidy(_predictor(model, schema)), schema)
