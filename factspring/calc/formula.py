@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .units import RuleError, product, words
+from .units import PURE, Exponents, RuleError, product, spelled
 
 _TOKEN = re.compile(r"\s*(?:(?P<number>\d+(?:\.\d+)?)|(?P<name>[A-Za-z_]\w*)|(?P<mark>[-+*/(),]))")
 FUNCTIONS = ("avg", "min", "max", "sum", "ifneg", "root")
@@ -92,14 +92,14 @@ class Typed:
 
     value: Column
     reason: Column
-    dims: dict[str, int]
+    dims: Exponents
 
 
-def constant(number: float, dims: dict[str, int] | None = None) -> Typed:
-    return Typed(F.lit(float(number)), F.lit(None).cast("string"), dims or {})
+def constant(number: float, dims: Exponents = PURE) -> Typed:
+    return Typed(F.lit(float(number)), F.lit(None).cast("string"), dims)
 
 
-def _guarded(value: Column, reason: Column, dims: dict[str, int]) -> Typed:
+def _guarded(value: Column, reason: Column, dims: Exponents) -> Typed:
     return Typed(F.when(reason.isNull(), value), reason, dims)
 
 
@@ -114,9 +114,9 @@ def compiled(tree: Node, given: dict[str, Typed]) -> Typed:
         if len(tree.args) != 2 or tree.args[1].kind != "number" or not tree.args[1].text.isdigit() or int(tree.args[1].text) == 0:
             raise RuleError("root(x, n): n must be a whole number above zero")
         x = compiled(tree.args[0], given)
-        if x.dims:
-            raise RuleError(f"root of {words(x.dims)}")
-        return _guarded(F.pow(x.value, F.lit(1.0 / int(tree.args[1].text))), F.coalesce(x.reason, F.when(x.value < 0, F.lit("root() of a negative number"))), {})
+        if any(x.dims):
+            raise RuleError(f"root of {spelled(x.dims)}")
+        return _guarded(F.pow(x.value, F.lit(1.0 / int(tree.args[1].text))), F.coalesce(x.reason, F.when(x.value < 0, F.lit("root() of a negative number"))), PURE)
     args = [compiled(a, given) for a in tree.args]
     reason = F.coalesce(*(a.reason for a in args)) if len(args) > 1 else args[0].reason
     if tree.kind == "neg":
@@ -128,7 +128,7 @@ def compiled(tree: Node, given: dict[str, Typed]) -> Typed:
         return _guarded(F.try_divide(a.value, b.value), F.coalesce(reason, F.when(b.value == 0, F.lit("division by zero"))), product(a.dims, b.dims, -1))
     same = args[1:] if tree.kind == "call" and tree.text == "ifneg" else args
     if any(x.dims != same[0].dims for x in same):
-        raise RuleError(f"{tree.text or tree.kind}: {', '.join(words(x.dims) for x in same)}")
+        raise RuleError(f"{tree.text or tree.kind}: {', '.join(spelled(x.dims) for x in same)}")
     values = [a.value for a in args]
     if tree.kind in "+-":
         return _guarded(values[0] + values[1] if tree.kind == "+" else values[0] - values[1], reason, args[0].dims)

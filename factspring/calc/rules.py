@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .formula import Node, Typed, compiled, constant, names, parse
-from .units import RuleError, dimensions, scale, words
+from .units import RuleError, dimensions, scale, spelled
 
 
 @dataclass(frozen=True)
@@ -100,7 +100,7 @@ class RuleSet:
             else:
                 typed = Typed(F.lit(None).cast("double"), F.lit(f"input {name} ({i.source}) has no value"), dimensions(i.unit))
             if typed.dims != dimensions(i.unit):
-                raise RuleError(f"{rule.output}: input {name} is {words(typed.dims)}, not {i.unit}")
+                raise RuleError(f"{rule.output}: input {name} is {spelled(typed.dims)}, not {i.unit}")
             given[name] = typed
         return given
 
@@ -113,7 +113,7 @@ class RuleSet:
             else:
                 typed = compiled(self.trees[rule.output], self._inputs(rule, sources, made))
             if typed.dims != dimensions(rule.unit):
-                raise RuleError(f"{rule.output}: {words(typed.dims)} is not {rule.unit}")
+                raise RuleError(f"{rule.output}: {spelled(typed.dims)} is not {rule.unit}")
             out, raw, why = rule.output, f"_{rule.output}", f"{rule.output}_blocked"
             df = df.withColumns({raw: typed.value / scale(rule.unit), why: typed.reason})
             df = df.withColumn(out, rounded(F.col(raw), rule))

@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,15 +46,98 @@ def test_passages_of_common_words_are_found(spark):
     assert all(r.score > 0 for r in out)
 
 
-def test_paragraphs_and_chunks():
-    text = "ANNUAL REVENUE\n3.1 The Commission has\nlooked at it.\n1,200 34.5 (2)\n\n12\nIt approves the claim.\n(a) First item here"
-    assert passages.paragraphs(text) == [("heading", "ANNUAL REVENUE"), ("text", "3.1 The Commission has looked at it."), ("text", "It approves the claim."), ("text", "(a) First item here")]
-    long = " ".join(f"word{i}" for i in range(700)) + "."
-    pieces = passages.bounded(long)
-    assert " ".join(pieces) == long and all(passages.estimate(p) <= passages.MOST for p in pieces)
-    made = passages.chunks(["a " * 100, "b " * 100, "c " * 250, "d"])
-    assert [first for first, _ in made] == [1, 3, 4] and all(passages.estimate(c) <= passages.MOST + 2 for _, c in made)
-    assert passages.paragraphs("") == [] and passages.chunks([]) == []
+PLAIN_WORDS = lambda t: 13 * len(t.split()) // 10 + 1  # noqa: E731  estimated tokens
+
+
+def plain_heading(t):
+    letters, words = [c for c in t if c.isalpha()], t.split()
+    if not letters or len(words) > 12 or t[-1] in ".:;,":
+        return False
+    return 10 * sum(c.isupper() for c in letters) > 6 * len(letters) or 4 * sum(not w[0].isalpha() or w[0].isupper() for w in words) > 3 * len(words)
+
+
+def plain_paragraphs(text):
+    """A plain reading, line by line."""
+    found, before = [], None  # before: the paragraph that the last line went to, or None after a gap
+    for line in re.split(r"\r\n|\r|\n", text):
+        line = line.strip()
+        figures_ = [bool(re.fullmatch(r"[-–0-9.,()%]+", w)) for w in line.split()]
+        if not line or all(figures_) or len(figures_) > 1 and 2 * sum(figures_) >= len(figures_):
+            before = None
+        elif before is None or re.match(r"(?i)(\d{1,2}(\.\d{1,3}){1,4}\.?|\(\s?[a-z]{1,4}\s?\)|[a-z]\))\s+\S", line) or len(before) == 1 and plain_heading(before[0]) and before[0][-1] != "-":
+            before = [line]
+            found.append(before)
+        else:
+            before.append(line)
+    out = []
+    for whole in (" ".join(" ".join(p).split()) for p in found):
+        if len(whole) < 3:
+            continue
+        if plain_heading(whole):
+            out.append(("heading", whole))
+            continue
+        pieces = [whole]
+        if PLAIN_WORDS(whole) > 400:
+            pieces = []
+            for s in re.split(r"(?<=[.;:])\s+(?=[A-Z(\d])", whole):
+                if pieces and PLAIN_WORDS(pieces[-1] + " " + s) <= 400:
+                    pieces[-1] += " " + s
+                else:
+                    pieces.append(s)
+        for piece in pieces:
+            w = piece.split()
+            out += [("text", piece)] if PLAIN_WORDS(piece) <= 400 else [("text", " ".join(w[i : i + 306])) for i in range(0, len(w), 306)]
+    return out
+
+
+def plain_chunks(parts):
+    out, own = [], []
+    for i, p in enumerate(parts, 1):
+        if own and sum(PLAIN_WORDS(x) for _, x in own) + PLAIN_WORDS(p) > 400:
+            out.append(own)
+            own = []
+        own.append((i, p))
+        if sum(PLAIN_WORDS(x) for _, x in own) >= 200:
+            out.append(own)
+            own = []
+    return [(c[0][0], "\n\n".join(x for _, x in c)) for c in [*out, own] if c]
+
+
+SMALL_PAGES = {
+    "ANNUAL REVENUE\n3.1 The Commission has\nlooked at it.\n1,200 34.5 (2)\n\n12\nIt approves the claim.\n(a) First item here": [("heading", "ANNUAL REVENUE"), ("text", "3.1 The Commission has looked at it."), ("text", "It approves the claim."), ("text", "(a) First item here")],
+    "Power Purchase\nCost Of Power\nthe rest of it,\nand more": [("heading", "Power Purchase"), ("heading", "Cost Of Power"), ("text", "the rest of it, and more")],
+    "CARRIED OVER-\nTHE LINE": [("heading", "CARRIED OVER- THE LINE")],
+    "ab\n\n  \n. .": [],
+    "": [],
+}
+
+
+def test_paragraphs_of_small_pages(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(SMALL_PAGES)] + [(99, None)], "doc_id long, text string")
+    out = {i: [] for i in range(len(SMALL_PAGES))}
+    for r in passages.split_paragraphs(df).orderBy("doc_id", "seq").collect():
+        out[r.doc_id].append((r.kind, r.text))
+    assert out == dict(enumerate(SMALL_PAGES.values()))
+
+
+@pytest.mark.parametrize("query", ["paragraph_kinds", "page_chunks"])
+def test_paragraphs_and_chunks_by_a_plain_reading(spark, query):
+    """The registered queries on their own table, and pages with long sentences and figures between lines."""
+    from factspring.catalogue import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    rnd = random.Random(3)
+    words = ["alpha", "Beta", "GAMMA", "delta.", "of;", "12", "3.4%", "(a)", "x)", "1.2", "the", "and", "Élan", "a-", "–"]
+    own = [(10**6 + i, "\n".join(" ".join(rnd.choice(words) for _ in range(rnd.choice([1, 2, 3, 14, 40, 700]))) for _ in range(rnd.randint(1, 30)))) for i in range(40)]
+    given = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("text is not null").collect() + own
+    made = QUERIES[query](spark, sf).collect() + (passages.split_paragraphs if query == "paragraph_kinds" else passages.chunk_pages)(spark.createDataFrame(own, "doc_id long, text string")).collect()
+    out = {}
+    for r in made:
+        out.setdefault(r.doc_id, []).append((r.seq, r.kind, r.text) if query == "paragraph_kinds" else (r.paragraph_seq, r.text))
+    for doc, text in given:
+        expected = plain_paragraphs(text)
+        expected = [(i, k, p) for i, (k, p) in enumerate(expected, 1)] if query == "paragraph_kinds" else plain_chunks([p for _, p in expected])
+        assert sorted(out.get(doc, [])) == sorted(expected), doc
 
 
 def reading(reader, value, page=1, label="Net ARR"):
