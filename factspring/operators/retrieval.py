@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.figures import words
+from ..sources.shared import stage
 
 #: Entries of each list before fusion, the constant of the fusion, results.
 LIST, FUSION, RESULTS = 50, 60, 30
@@ -16,10 +17,11 @@ def _is(term: str):
 
 
 def bm25(docs: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """``doc_id, score`` of the documents that have a term. Term counts are taken inside the row; only numbers are gathered."""
+    """``doc_id, score`` of the documents that have a term. Texts are read once, into a narrow table of lengths and term counts; statistics and scores come from it."""
     split = docs.select("doc_id", words(F.col("text")).alias("w"))
     split = split.select("doc_id", F.size("w").alias("len"), F.filter("w", lambda x: x.isin(terms)).alias("w"))
     counted = split.select("doc_id", "len", *[F.size(F.filter("w", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)])
+    counted = stage(counted, "term-counts")
     stats = counted.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])  # one row
     joined = counted.where(" or ".join(f"tf{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(stats))
     score = F.lit(0.0)

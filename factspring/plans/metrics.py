@@ -81,22 +81,6 @@ def section_spans(spark, sf_dir) -> DataFrame:
     return f.groupBy("user_id", "part", "first_hit").agg(F.max("event_id").alias("last_page"), F.count("*").alias("pages"))
 
 
-_RARE = 20
-
-
-@query("passages_per_item", f"""WITH d AS (SELECT DISTINCT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM documents), k AS (SELECT w, count(*) AS df FROM d GROUP BY w HAVING count(*) <= {_RARE}),
-i AS (SELECT DISTINCT item_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM benchmark), s AS (SELECT item_id, doc_id, count(*) AS shared FROM i JOIN k USING (w) JOIN d USING (w) GROUP BY ALL)
-SELECT item_id, doc_id, shared, place FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id)::INTEGER AS place FROM s) WHERE place <= 4""")
-def passages_per_item(spark, sf_dir) -> DataFrame:
-    """The four documents that share most rare words with each item; a word of few documents can't make many pairs."""
-    split = lambda t, key: table(spark, sf_dir, t).select(key, F.explode(F.array_distinct(figures.words(F.col("text")))).alias("w"))
-    docs = split("documents", "doc_id")
-    rare = docs.groupBy("w").agg(F.count("*").alias("df")).where(F.col("df") <= _RARE).select("w")
-    asked = split("benchmark", "item_id").join(rare, "w")
-    shared = asked.join(docs, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
-    return top_in_group(shared, ["item_id"], [F.col("shared").desc(), F.col("doc_id")], 4).select("item_id", "doc_id", "shared", "place")
-
-
 _PASSAGE = 500  # characters after which a passage ends at its line's end
 
 
@@ -131,14 +115,18 @@ _GROWN = "CASE WHEN l.buf = '' THEN x.buf WHEN x.buf = '' THEN l.buf ELSE x.buf
 _ENDS = f"{_GROWN} <> '' AND (l.buf = '' OR length({_GROWN}) > {_PASSAGE})"
 
 
-@query("passages_bm25", f"""WITH c AS (SELECT row_number() OVER () AS r, doc_id, list_reduce(list_transform(string_split(text, chr(10)), lambda l: {{'done': []::VARCHAR[], 'buf': trim(l, ' ' || chr(9) || chr(11) || chr(12) || chr(13))}}),
+_BM25_SQL = f"""WITH c AS (SELECT row_number() OVER () AS r, doc_id, list_reduce(list_transform(string_split(text, chr(10)), lambda l: {{'done': []::VARCHAR[], 'buf': trim(l, ' ' || chr(9) || chr(11) || chr(12) || chr(13))}}),
   lambda x, l: {{'done': CASE WHEN {_ENDS} THEN list_append(x.done, {_GROWN}) ELSE x.done END, 'buf': CASE WHEN {_ENDS} THEN '' ELSE {_GROWN} END}}, {{'done': []::VARCHAR[], 'buf': ''}}) AS x FROM documents WHERE text IS NOT NULL),
 a AS (SELECT r, doc_id, CASE WHEN x.buf = '' THEN x.done ELSE list_append(x.done, x.buf) END AS ps FROM c), u AS (SELECT r, doc_id, unnest(ps) AS t, unnest(range(1, len(ps) + 1)) AS i FROM a),
 p AS (SELECT doc_id, min(i)::INTEGER AS passage, list_filter(string_split_regex(lower(t), '[^a-z0-9]+'), lambda w: w <> '') AS ws FROM u GROUP BY r, doc_id, t), s AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM p),
 h AS (SELECT doc_id, passage, len, w, count(*) AS tf FROM (SELECT doc_id, passage, len(ws) AS len, unnest(ws) AS w FROM p) GROUP BY ALL), k AS (SELECT w, ln(1 + (n - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf, mean FROM h, s GROUP BY w, n, mean),
 q AS (SELECT DISTINCT item_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w <> '')) AS w FROM benchmark),
 b AS (SELECT item_id, doc_id, passage, round(sum(idf * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))), 9) AS score FROM h JOIN k USING (w) JOIN q USING (w) GROUP BY ALL)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, passage)::INTEGER AS place FROM b) WHERE place <= 4""")
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, passage)::INTEGER AS place FROM b) WHERE place <= 4"""
+
+
+@query("passages_per_item", _BM25_SQL)
+@query("passages_bm25", _BM25_SQL)
 def passages_bm25(spark, sf_dir) -> DataFrame:
     """The four passages of highest BM25 score for each item, over all its words; no word is left out for being common."""
     return best_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -20,22 +20,14 @@ def headline_pick(spark, sf_dir) -> DataFrame:
     return latest(rows, ["l_orderkey"], order).select("l_orderkey", "l_returnflag", "l_linenumber", "l_partkey")
 
 
-@query("unit_inference", """WITH f AS (SELECT DISTINCT l_orderkey AS tab, nullif(o_orderpriority, '5-LOW') AS unit, (l_partkey * 100 + l_quantity)::BIGINT AS figure FROM lineitem JOIN orders ON l_orderkey = o_orderkey), d AS (SELECT figure FROM f GROUP BY figure HAVING count(*) <= 6), g AS (SELECT * FROM f JOIN d USING (figure)),
-p AS (SELECT a.tab, b.unit, a.figure FROM g a JOIN g b ON a.figure = b.figure WHERE a.unit IS NULL AND b.unit IS NOT NULL)
-SELECT tab, min(unit) AS unit, count(DISTINCT figure) AS shared FROM p GROUP BY tab HAVING count(DISTINCT unit) = 1""")
-def unit_inference(spark, sf_dir) -> DataFrame:
-    """A table without a unit takes that of tables it shares distinctive figures with, if they name one only. Figures that many tables have tell nothing and are left out, so no figure makes many pairs."""
-    units = table(spark, sf_dir, "orders").select("o_orderkey", F.expr("nullif(o_orderpriority, '5-LOW')").alias("unit"))
-    f = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("tab"), F.expr("cast(l_partkey * 100 + l_quantity as long)").alias("figure")).distinct()
-    g = f.join(f.groupBy("figure").count().where("count <= 6").select("figure"), "figure").join(units, F.col("tab") == F.col("o_orderkey"))
-    pairs = g.where("unit is null").select("tab", "figure").join(g.where("unit is not null").select("figure", "unit"), "figure")
-    return pairs.groupBy("tab").agg(F.min("unit").alias("unit"), F.count_distinct("figure").alias("shared"), F.max("unit").alias("most")).where("unit = most").drop("most")
+_UNIT_SQL = """WITH f AS (SELECT DISTINCT l_orderkey AS tab, nullif(o_orderpriority, '5-LOW') AS unit, (l_partkey * 100 + l_quantity)::BIGINT AS figure FROM lineitem JOIN orders ON l_orderkey = o_orderkey), g AS (SELECT * FROM f WHERE abs(figure) >= 10000 AND figure % 100 <> 0)
+SELECT a.tab, min(b.unit) AS unit, count(DISTINCT a.figure) AS shared FROM g a JOIN g b ON a.figure = b.figure WHERE a.unit IS NULL AND b.unit IS NOT NULL GROUP BY a.tab HAVING count(DISTINCT b.unit) = 1 AND count(DISTINCT a.figure) >= 3"""
 
 
-@query("unit_evidence", """WITH f AS (SELECT DISTINCT l_orderkey AS tab, nullif(o_orderpriority, '5-LOW') AS unit, (l_partkey * 100 + l_quantity)::BIGINT AS figure FROM lineitem JOIN orders ON l_orderkey = o_orderkey), g AS (SELECT * FROM f WHERE abs(figure) >= 10000 AND figure % 100 <> 0)
-SELECT a.tab, min(b.unit) AS unit, count(DISTINCT a.figure) AS shared FROM g a JOIN g b ON a.figure = b.figure WHERE a.unit IS NULL AND b.unit IS NOT NULL GROUP BY a.tab HAVING count(DISTINCT b.unit) = 1 AND count(DISTINCT a.figure) >= 3""")
+@query("unit_inference", _UNIT_SQL)
+@query("unit_evidence", _UNIT_SQL)
 def unit_evidence(spark, sf_dir) -> DataFrame:
-    """As ``unit_inference`` for figures in hundredths, by three or more distinctive ones (at least 100, not whole) that tables of one unit print. A figure meets others as its least and greatest unit, so none makes pairs, however many tables have it."""
+    """A table without a unit takes that of tables which print three or more of its distinctive figures (in hundredths: at least 100, not whole), if they name one unit only. A figure meets others as its least and greatest unit, so none makes pairs, however many tables have it."""
     units = table(spark, sf_dir, "orders").select("o_orderkey", F.expr("nullif(o_orderpriority, '5-LOW')").alias("unit"))
     return borrowed_units(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("tab"), F.expr("cast(l_partkey * 100 + l_quantity as long)").alias("figure")).join(units, F.col("tab") == F.col("o_orderkey")))
 
@@ -88,11 +80,13 @@ def status_rollup(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(status.alias("status"), F.expr("bool_or(o_orderpriority = '1-URGENT')").alias("urgent"), F.count_distinct("o_orderpriority").alias("kinds"))
 
 
-@query("release_preview", "SELECT p_brand, count(*) AS facts, count(*) FILTER (p_size < 10) AS gaps, sha256(string_agg(p_partkey || ':' || p_size, ',' ORDER BY p_partkey)) AS token FROM part GROUP BY p_brand")
+@query("release_preview", """WITH b AS (SELECT p_brand, p_partkey // 1000 AS block, count(*) AS n, count(*) FILTER (p_size < 10) AS g, sha256(string_agg(p_partkey || ':' || p_size, ',' ORDER BY p_partkey)) AS h FROM part GROUP BY ALL)
+SELECT p_brand, sum(n)::BIGINT AS facts, sum(g)::BIGINT AS gaps, sha256(string_agg(block || ':' || h, ',' ORDER BY block)) AS token FROM b GROUP BY p_brand""")
 def release_preview(spark, sf_dir) -> DataFrame:
-    """What a release would hold, with a token of exactly its content."""
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_size"))), lambda r: F.concat(r["p_partkey"], F.lit(":"), r["p_size"]))
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("facts"), F.count_if(F.col("p_size") < 10).alias("gaps"), F.sha2(F.array_join(rows, ","), 256).alias("token"))
+    """What a release would hold, with a token of exactly its content: blocks of keys are hashed first, then their hashes, so no group is gathered whole."""
+    listed = lambda a, b: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(a, b))), lambda r: F.concat(r[a], F.lit(":"), r[b])), ","), 256)
+    blocks = table(spark, sf_dir, "part").groupBy("p_brand", F.expr("p_partkey div 1000").alias("block")).agg(F.count("*").alias("n"), F.count_if(F.col("p_size") < 10).alias("g"), listed("p_partkey", "p_size").alias("h"))
+    return blocks.groupBy("p_brand").agg(F.sum("n").alias("facts"), F.sum("g").alias("gaps"), listed("block", "h").alias("token"))
 
 
 @query("printed_lookup", """WITH c AS (SELECT p_partkey, round(p_retailprice::DECIMAL(18,2), 1)::DECIMAL(18,1) AS cell FROM part), q AS (SELECT DISTINCT round(l_extendedprice::DECIMAL(18,2) / l_quantity::INTEGER, 1)::DECIMAL(18,1) AS printed FROM lineitem)

@@ -122,20 +122,25 @@ def set_operations(spark, sf_dir) -> DataFrame:
 
 @query("theta_later", f"WITH {FACTS_SQL} SELECT a.fact_id, count(*) AS later, sum(CASE WHEN abs(a.value - b.value) < 5000 THEN 1 ELSE 0 END)::BIGINT AS near FROM facts a JOIN facts b ON a.utility = b.utility AND a.head = b.head AND b.order_year > a.order_year GROUP BY a.fact_id")
 def theta_later(spark, sf_dir) -> DataFrame:
-    """How often a decision is followed by later ones on the same head, and by near ones: equal keys, a range and a tolerance as the residual."""
-    f = facts(spark, sf_dir).select("fact_id", "utility", "head", "order_year", "value")
-    pairs = f.alias("a").join(f.alias("b"), F.expr("a.utility = b.utility and a.head = b.head and b.order_year > a.order_year"))
-    return pairs.groupBy(F.col("a.fact_id").alias("fact_id")).agg(F.count("*").alias("later"), F.sum(F.expr("cast(abs(a.value - b.value) < 5000 as long)")).alias("near"))
+    """How often a decision is followed by later ones on the same head, and by near ones: the former are counted by a window over years, only near values (of neighbouring bins) meet as pairs."""
+    width = 5000
+    f = facts(spark, sf_dir).select("fact_id", "utility", "head", "order_year", "value").withColumn("bin", F.floor(F.col("value") / width).cast("long"))
+    after = Window.partitionBy("utility", "head").orderBy("order_year").rangeBetween(1, Window.unboundedFollowing)
+    counted = f.select("fact_id", F.count("*").over(after).alias("later")).where("later > 0")
+    probes = f.withColumn("bin", F.explode(F.sequence(F.col("bin") - 1, F.col("bin") + 1)))
+    pairs = probes.alias("a").join(f.alias("b"), F.expr(f"a.utility = b.utility and a.head = b.head and a.bin = b.bin and b.order_year > a.order_year and abs(a.value - b.value) < {width}"))
+    near = pairs.groupBy(F.col("a.fact_id").alias("fact_id")).agg(F.count("*").alias("near"))
+    return counted.join(near, "fact_id", "left").select("fact_id", "later", F.coalesce("near", F.lit(0)).cast("long").alias("near"))
 
 
 @query("tolerance_join", "WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice::DECIMAL(18,2) AS v FROM lineitem) SELECT a.l_orderkey, a.l_linenumber, count(*) AS matches FROM l a JOIN l b ON a.l_partkey = b.l_partkey AND abs(a.v - b.v) < 900 AND a.l_orderkey <> b.l_orderkey GROUP BY ALL")
 def tolerance_join(spark, sf_dir) -> DataFrame:
-    """Lines that another order's line of the part matches within 900: values are cut into bins of that width, so a line meets three bins only."""
-    width = 900
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_extendedprice").cast("decimal(18,2)").alias("v")).withColumn("bin", F.floor(F.col("v") / width).cast("long"))
-    probes = lines.withColumn("bin", F.explode(F.sequence(F.col("bin") - 1, F.col("bin") + 1)))
-    pairs = probes.alias("a").join(lines.alias("b"), F.expr(f"a.l_partkey = b.l_partkey and a.bin = b.bin and abs(a.v - b.v) < {width} and a.l_orderkey <> b.l_orderkey"))
-    return pairs.groupBy(F.col("a.l_orderkey").alias("l_orderkey"), F.col("a.l_linenumber").alias("l_linenumber")).agg(F.count("*").alias("matches"))
+    """Lines that another order's line of the part matches within 900: counts of a range of values less those of the line's own order, one shuffle and no pairs."""
+    reach = 900 * 100 - 1  # hundredths
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_extendedprice").cast("decimal(18,2)") * 100).cast("long").alias("v"))
+    inside = lambda *keys: F.count("*").over(Window.partitionBy(*keys).orderBy("v").rangeBetween(-reach, reach))
+    counted = lines.select("l_orderkey", "l_linenumber", (inside("l_partkey") - inside("l_partkey", "l_orderkey")).alias("matches"))
+    return counted.groupBy("l_orderkey", "l_linenumber").agg(F.sum("matches").alias("matches")).where("matches > 0")
 
 
 @query("lateral_rows", "SELECT doc_id, i AS line, trim(lines[i]) AS said FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) WHERE trim(lines[i]) <> ''")
@@ -197,13 +202,13 @@ def heads_in_year(spark, sf_dir) -> DataFrame:
 
 
 @query("outlier_set_aside", """WITH m AS (SELECT o_custkey, median(o_totalprice::DECIMAL(18,2)::DOUBLE) AS middle, count(*) AS n FROM orders WHERE o_totalprice > 0 GROUP BY o_custkey)
-SELECT o_orderkey, o_totalprice::DECIMAL(18,2) AS value, middle, CASE WHEN o_totalprice <= 0 THEN 'not above zero' WHEN o_totalprice::DECIMAL(18,2)::DOUBLE < middle / 5 THEN 'under a fifth of the median' WHEN o_totalprice::DECIMAL(18,2)::DOUBLE > middle * 5 THEN 'over five times the median' END AS set_aside FROM orders JOIN m USING (o_custkey) WHERE n >= 3""")
+SELECT o_orderkey, o_totalprice::DECIMAL(18,2) AS value, middle, CASE WHEN middle IS NULL THEN NULL WHEN o_totalprice <= 0 THEN 'not above zero' WHEN o_totalprice::DECIMAL(18,2)::DOUBLE < middle / 5 THEN 'under a fifth of the median' WHEN o_totalprice::DECIMAL(18,2)::DOUBLE > middle * 5 THEN 'over five times the median' END AS set_aside FROM orders LEFT JOIN (SELECT * FROM m WHERE n >= 3) m USING (o_custkey)""")
 def outlier_set_aside(spark, sf_dir) -> DataFrame:
-    """Figures far from their group's median (of positive ones, three at least); aggregated, then joined back."""
+    """Figures far from their group's median (of positive ones, three at least), with the reason; those of smaller groups are kept and never set aside. Aggregated, then joined back."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("decimal(18,2)").alias("value"))
     m = o.where("value > 0").groupBy("o_custkey").agg(F.median(F.col("value").cast("double")).alias("middle"), F.count("*").alias("n")).where("n >= 3")
-    why = F.expr("case when value <= 0 then 'not above zero' when cast(value as double) < middle / 5 then 'under a fifth of the median' when cast(value as double) > middle * 5 then 'over five times the median' end")
-    return o.join(m, "o_custkey").select("o_orderkey", "value", "middle", why.alias("set_aside"))
+    why = F.expr("case when middle is null then null when value <= 0 then 'not above zero' when cast(value as double) < middle / 5 then 'under a fifth of the median' when cast(value as double) > middle * 5 then 'over five times the median' end")
+    return o.join(m, "o_custkey", "left").select("o_orderkey", "value", "middle", why.alias("set_aside"))
 
 
 @query("main_table", "SELECT l_orderkey, l_suppkey FROM (SELECT l_orderkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY count(*) DESC, sum(l_quantity) DESC, l_suppkey) AS rn FROM lineitem GROUP BY l_orderkey, l_suppkey) WHERE rn = 1")
@@ -213,20 +218,21 @@ def main_table(spark, sf_dir) -> DataFrame:
     return scored.groupBy("l_orderkey").agg(F.max_by("l_suppkey", F.struct("n", "q", (-F.col("l_suppkey")).alias("less"))).alias("l_suppkey"))
 
 
-@query("benchmarks_rank", """WITH r AS (SELECT s_suppkey, s_nationkey, sum((l_extendedprice * l_discount)::DECIMAL(18,4)) AS top, sum(l_extendedprice::DECIMAL(18,2)) AS bottom FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
+@query("benchmarks_rank", """WITH r AS (SELECT s_suppkey, s_nationkey, sum((l_extendedprice * l_discount)::DECIMAL(18,4)) AS top, sum(l_extendedprice::DECIMAL(18,2)) AS bottom FROM supplier LEFT JOIN (SELECT * FROM lineitem WHERE l_suppkey % 7 <> 0) ON l_suppkey = s_suppkey GROUP BY ALL),
 q AS (SELECT *, round(100 * top::DOUBLE / nullif(bottom, 0)::DOUBLE, 3) AS ratio FROM r)
-SELECT s_suppkey, ratio, rank() OVER (ORDER BY ratio)::INTEGER AS place, median(ratio) OVER (PARTITION BY s_nationkey) AS middle, count(*) OVER (PARTITION BY s_nationkey) AS n FROM q WHERE ratio IS NOT NULL""")
+SELECT s_suppkey, ratio, CASE WHEN ratio IS NOT NULL THEN rank() OVER (ORDER BY ratio NULLS LAST)::INTEGER END AS place, median(ratio) OVER (PARTITION BY s_nationkey) AS middle, count(ratio) OVER (PARTITION BY s_nationkey) AS n,
+  CASE WHEN top IS NULL THEN 'no lines' WHEN bottom = 0 THEN 'the denominator is zero' END AS reason FROM q""")
 def benchmarks_rank(spark, sf_dir) -> DataFrame:
-    """A ratio of each supplier, its place (1 + how many are smaller) and its nation's median.
+    """A ratio of each supplier, its place (1 + how many are smaller) and its nation's median; a supplier without a ratio is kept, with the reason.
 
-    The place counts smaller ratios by a running sum over the few distinct ratios' counts.
+    A seventh of the suppliers' lines are left out here, so that some have none. The place counts smaller ratios by a running sum over the few distinct ratios' counts.
     """
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.sum(F.expr("cast(l_extendedprice * l_discount as decimal(18,4))")).alias("top"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("bottom"))
-    q = lines.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).withColumn("ratio", F.round(F.try_divide(100 * F.col("top").cast("double"), F.col("bottom").cast("double")), 3)).where("ratio is not null")
-    nations = q.groupBy("s_nationkey").agg(F.median("ratio").alias("middle"), F.count("*").alias("n"))
-    places = q.groupBy("ratio").agg(F.count("*").alias("c"))  # ratios have three places, so there are few
+    lines = table(spark, sf_dir, "lineitem").where("l_suppkey % 7 <> 0").groupBy("l_suppkey").agg(F.sum(F.expr("cast(l_extendedprice * l_discount as decimal(18,4))")).alias("top"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("bottom"))
+    q = table(spark, sf_dir, "supplier").join(lines, F.col("l_suppkey") == F.col("s_suppkey"), "left").withColumn("ratio", F.round(F.try_divide(100 * F.col("top").cast("double"), F.col("bottom").cast("double")), 3)).withColumn("reason", F.expr("case when top is null then 'no lines' when bottom = 0 then 'the denominator is zero' end"))
+    nations = q.groupBy("s_nationkey").agg(F.median("ratio").alias("middle"), F.count("ratio").alias("n"))
+    places = q.where("ratio is not null").groupBy("ratio").agg(F.count("*").alias("c"))  # ratios have three places, so there are few
     places = places.select("ratio", (F.sum("c").over(Window.orderBy("ratio")) - F.col("c") + 1).cast("int").alias("place"))
-    return q.join(nations, "s_nationkey").join(places, "ratio").select("s_suppkey", "ratio", "place", "middle", "n")
+    return q.join(nations, "s_nationkey").join(places, "ratio", "left").select("s_suppkey", "ratio", "place", "middle", "n", "reason")
 
 
 @query("rollup_tree", "SELECT r_name, n_name, sum(o_totalprice::DECIMAL(18,2)) AS total, grouping(r_name, n_name)::BIGINT AS level FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)")
