@@ -46,3 +46,34 @@ def day_covered(bands: DataFrame, key: str, start: str, end: str) -> DataFrame:
 
 def exists_in(df: DataFrame, key: str, cited: DataFrame, cited_key: str, what: str) -> DataFrame:
     return findings(df.join(cited.select(F.col(cited_key).alias("_cited")).distinct(), F.col(key) == F.col("_cited"), "left_anti"), "evidence", "error", F.col(key), F.lit(f"no such {what}"))
+
+
+def option_groups(df: DataFrame, category: str, alternative: str) -> DataFrame:
+    """Groups of alternatives: one alone is blocking, several are told, since no default can be published."""
+    g = df.where(F.col(alternative).isNotNull()).groupBy(category).agg(F.count_distinct(alternative).alias("n"))
+    return g.select(F.lit("option_groups").alias("validator"), F.when(F.col("n") < 2, "blocking").otherwise("info").alias("severity"), F.col(category).cast("string").alias("key"), F.concat(F.col("n").cast("string"), F.lit(" alternatives")).alias("message"))
+
+
+def roles_apart(df: DataFrame, cell: list[str], role: str) -> DataFrame:
+    """A cell cited in more than one role."""
+    g = df.groupBy(*cell).agg(F.count_distinct(role).alias("n")).where("n > 1")
+    return findings(g, "role_separation", "blocking", F.concat_ws("|", *cell), F.concat(F.col("n").cast("string"), F.lit(" roles")))
+
+
+def priced_per(df: DataFrame, key: Column, component: str, unit: str, allowed: dict[str, tuple[str, ...]]) -> DataFrame:
+    """A component priced per a unit that it can't be; components without an entry are let be."""
+    units = F.element_at(F.create_map(*[x for c, u in allowed.items() for x in (F.lit(c), F.array(*map(F.lit, u)))]), F.col(component))
+    return findings(df.where(~F.array_contains(units, F.col(unit))), "component_units", "blocking", key, F.concat(F.col(component), F.lit(" priced per "), F.col(unit)))
+
+
+def recomputed(df: DataFrame, key: Column, printed: str, computed: Column, places: int) -> DataFrame:
+    """A printed result more than one unit of its last place from its own inputs; one that can't be computed is a warning."""
+    off = df.withColumn("_c", computed).where(F.col("_c").isNull() | (F.abs(F.col("_c") - F.col(printed)) > 10**-places))
+    return off.select(F.lit("derivation").alias("validator"), F.when(F.col("_c").isNull(), "warning").otherwise("blocking").alias("severity"), key.cast("string").alias("key"), F.when(F.col("_c").isNull(), "inputs incomplete").otherwise("the inputs give another figure").alias("message"))
+
+
+def families_complete(df: DataFrame, scope: str, family: str, required: list[str], disposed: DataFrame) -> DataFrame:
+    """Required families that a scope has no candidate of and no disposition for (``disposed``: scope, family)."""
+    wanted = df.select(scope).distinct().select(scope, F.explode(F.array(*map(F.lit, required))).alias(family))
+    missing = wanted.join(df.select(scope, family).distinct(), [scope, family], "left_anti").join(disposed, [scope, family], "left_anti")
+    return findings(missing, "completeness", "blocking", F.concat_ws("|", scope, family), F.lit("no candidate and no disposition"))
