@@ -17,11 +17,22 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def split_before(token: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """The parts that merges of lower rank than the token's make of its bytes: they must be the pair that the file lists for it, as the engine merges any two parts that make a token."""
+    parts, own = [token[i : i + 1] for i in range(len(token))], ranks[token]
+    while len(parts) > 1:
+        rank, at = min((ranks.get(a + b, own), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+        if rank >= own:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return parts
+
+
 class ByteBpe:
     """Encodes as the tokenizers library does with the file at ``path``, without special tokens added.
 
     The file's vocabulary runs in a second, faster engine where that must give the same ids: the file's ids follow
-    its merges' order, and no added token stands in the text. Other texts go through tokenizers itself.
+    its merges' order, each token is made of the pair listed for it, and no added token stands in the text. Other texts go through tokenizers itself.
     """
 
     def __init__(self, path: str):
@@ -39,7 +50,8 @@ class ByteBpe:
         merged = [spec["model"]["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
         plain = spec["normalizer"] is None and spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
         self.fast = None
-        if plain and merged == sorted(merged):
+        pairs = [tuple(bytes(letters[c] for c in part) for part in (m if isinstance(m, list) else m.split(" "))) for m in spec["model"]["merges"]]
+        if plain and merged == sorted(merged) and all(split_before(a + b, ranks) == [a, b] for a, b in pairs):
             import public_tokenizers
 
             self.fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})

@@ -81,9 +81,8 @@ class Formatter:
         return [] if self.turns else [(self.template.start, False)]
 
 
-def read_turns(template: Template, text: str) -> Iterator[tuple[str, str]]:
-    """The turns (role, text) of formatted output, from the start or from any turn's start on."""
-    at = len(template.start) if text.startswith(template.start) else 0
+def _turns(template: Template, text: str, at: int) -> Iterator[tuple[str, str, int]]:
+    """Role, text and end of each turn from a turn's start on."""
     while at < len(text):
         for role, (before, after) in template.roles.items():
             if text.startswith(before, at):
@@ -95,8 +94,14 @@ def read_turns(template: Template, text: str) -> Iterator[tuple[str, str]]:
             end = text.index(template.other[1], at)
             role, after, at = template.unescape(text[at + len(template.other[0]) : end]), template.other[2], end + len(template.other[1])
         end = text.index(after, at)
-        yield role, template.unescape(text[at:end])
-        at = end + len(after)
+        said, at = template.unescape(text[at:end]), end + len(after)
+        yield role, said, at
+
+
+def read_turns(template: Template, text: str) -> Iterator[tuple[str, str]]:
+    """The turns (role, text) of formatted output, from the start or from any turn's start on."""
+    for role, said, _ in _turns(template, text, len(template.start) if text.startswith(template.start) else 0):
+        yield role, said
 
 
 def format_turns(turns: Iterable[tuple[str, str]], template: Template | None = None) -> tuple[list[Segment], list[str]]:
@@ -107,31 +112,51 @@ def format_turns(turns: Iterable[tuple[str, str]], template: Template | None = N
     return out + formatter.close(), formatter.errors
 
 
+class Reader:
+    """Reads turns back from a stream of output and the spans of it that the loss counts; what was read is let go."""
+
+    def __init__(self, template: Template):
+        self.template, self.held, self.begin, self.end = template, "", 0, 0  # begin: place of ``held`` in the stream
+        self.started, self.spans = False, []
+
+    def feed(self, segments: Iterable[Segment]) -> Iterator[tuple[str, str, list[str]]]:
+        """Role and text of each turn that is complete by now, and the texts under the loss in it."""
+        for text, learned in segments:
+            if learned:
+                self.spans.append((self.end, self.end + len(text)))
+            self.held += text
+            self.end += len(text)
+        at = 0
+        if not self.started and self.held.startswith(self.template.start):
+            self.started, at = True, len(self.template.start)
+        for role, text, after in _turns(self.template, self.held, at):
+            there = [s for s in self.spans if s[1] <= self.begin + after]
+            self.spans = self.spans[len(there) :]
+            yield role, text, [self.template.unescape(self.held[a - self.begin : b - self.begin]) for a, b in there]
+            at = after
+        self.held, self.begin = self.held[at:], self.begin + at
+
+
 class _Digest:
-    """What a conversation's output says, read back from it piece by piece."""
+    """What a conversation's output says, read back from the stream of it."""
 
     def __init__(self, conversation: int | None, template: Template):
-        self.conversation, self.template, self.formatter = conversation, template, Formatter(template)
+        self.conversation, self.formatter, self.reader = conversation, Formatter(template), Reader(template)
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
-        self.n = self.loss_chars = self.chars = 0
+        self.n = self.loss_chars = 0
 
     def add(self, role: str, text: str) -> None:
-        segments = self.formatter.turn(role, text)
-        output = "".join(s for s, _ in segments)
-        self.chars += len(output)
-        for role, text in read_turns(self.template, output):
+        for role, text, learned in self.reader.feed(self.formatter.turn(role, text)):
             self.n += 1
             self.turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-        for segment, learned in segments:
-            if learned:
-                learned_text = self.template.unescape(segment)
-                self.loss_chars += len(learned_text)
-                self.loss.update(learned_text.encode("utf-8", "surrogatepass"))
+            for piece in learned:
+                self.loss_chars += len(piece)
+                self.loss.update(piece.encode("utf-8", "surrogatepass"))
 
     def row(self) -> tuple:
         self.formatter.close()
         errors = self.formatter.errors
-        return self.conversation, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, not errors, errors[0] if errors else None
+        return self.conversation, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.reader.end, not errors, errors[0] if errors else None
 
 
 DIGEST_SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, in_order boolean, error string"
@@ -189,7 +214,10 @@ def _segments(template: Template):
 
 
 def format_conversations(turns: DataFrame, template: Template | None = None) -> DataFrame:
-    """``conv_id, turn, segment, text, loss``: the output's segments; joined in order they are the formatted conversation."""
+    """``conv_id, turn, segment, text, loss``: the output's segments; joined in order they are the formatted conversation.
+
+    Nulls, ties and repeated rows as in ``digest_conversations``; other columns are left out, an empty table gives no rows.
+    """
     ship(turns.sparkSession)
     return _ordered(turns).mapInArrow(_segments(template or Template()), SEGMENT_SCHEMA)
 

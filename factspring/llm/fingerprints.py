@@ -86,7 +86,12 @@ def edited(text: Column, next_text: Column) -> Column:
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every document and of its edited text, with their likeness; see ``with_next`` and ``edited``."""
+    """Fingerprints of every document and of its edited text, with their likeness; see ``with_next`` and ``edited``.
+
+    ``fingerprint`` is a tree's root, which tests equality only. Likeness is that of the whole trees' units, which are
+    made on the way and not returned: ``fingerprint`` (the function) keeps them. A null text counts as empty; repeated
+    rows each have a next document, in the order of id and text; an empty table gives no rows.
+    """
     pairs = with_next(docs).withColumn("edited", edited(F.col("text"), F.col("next_text")))
     trees = pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), tree(F.col("text")).alias("_t"), tree(F.col("edited")).alias("_e"), tree(F.col("next_text")).alias("_x"))
     return trees.select(

@@ -208,7 +208,7 @@ PACKED_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` of every piece of every row's text.
 
-    A null text counts as empty: its one piece is the end id. The ranks that the plan speaks of are a piece's
+    A null text counts as empty: its one piece is the end id. Repeated rows and rows with a null doc_id are packed each. The ranks that the plan speaks of are a piece's
     place among those of its length: by task of the tokenising job, then by document and piece.
     """
     ship(docs.sparkSession)

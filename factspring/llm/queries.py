@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from . import bpe, chat, fingerprints, language_id, near_dedup, packing, quality_rules, sharding, suffix_dedup, token_counts
 
 
+LENIENT = 0.2
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -21,6 +24,11 @@ def op1_quality_rules_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), pooled=True)
 
 
+def op1_quality_rules_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At a fifth of false rejections, so that few labels certify cutoffs too."""
+    return quality_rules.apply_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), alpha=LENIENT)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_languages(_table(spark, sf_dir, "documents"))
 
@@ -64,6 +72,7 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_quality_rules": op1_quality_rules,
     "op1_quality_rules_pooled": op1_quality_rules_pooled,
+    "op1_quality_rules_lenient": op1_quality_rules_lenient,
     "op2_language_id": op2_language_id,
     "op3_sharding": op3_sharding,
     "op4_near_dedup": op4_near_dedup,
@@ -106,6 +115,7 @@ kept AS (SELECT doc_id, string_agg(h[2 * cut.a + 1:2 * coalesce(cut.z, n)], '' O
 SELECT b.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, b.h))) AS kept_sha256 FROM b LEFT JOIN c USING (doc_id) LEFT JOIN kept USING (doc_id)""",
     "op1_quality_rules": quality_rules.rules_sql(),
     "op1_quality_rules_pooled": quality_rules.pooled_rules_sql(),
+    "op1_quality_rules_lenient": quality_rules.rules_sql(LENIENT),
     "op5_chat": chat.digest_sql().replace("FROM turns", """FROM (SELECT conv_id, turn, role, text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))"""),
     "op10_fingerprints": """

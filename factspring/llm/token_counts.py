@@ -56,7 +56,7 @@ def _count(path: str, rule: str):
 def count_tokens(docs: DataFrame, path: str, rule: str = "first") -> DataFrame:
     """``doc_id, section, n_chars, n_tokens, n_crossing``: a row for each line (its newline included) of every row's text.
 
-    A null or empty text has one section without tokens. The sections' tokens sum to the whole text's.
+    A null or empty text has one section without tokens. Rows are independent: repeated rows and null ids come out as they are. The sections' tokens sum to the whole text's.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")

@@ -303,6 +303,22 @@ def test_chat_order():
     assert check("user", "user", "assistant") == ["turn 1: user after user"] and check("", "user", "assistant")[0] == "turn 0: no role after the start"
 
 
+def test_a_stream_reads_back_turn_by_turn():
+    """Turns and the texts under the loss, taken by their places, come out of the joined stream."""
+    turns = [("user", "a </s> b"), ("tool", "<<TURN>>"), ("assistant", "[INST]\\ x"), ("user", ""), ("assistant", "y")]
+    segments, _ = chat.format_turns(turns)
+    whole = chat.Reader(chat.Template())
+    out = list(whole.feed(segments))
+    assert [(r, t) for r, t, _ in out] == turns and [x for *_, own in out for x in own] == ["[INST]\\ x", "y"] and whole.held == "" and whole.end == sum(len(s) for s, _ in segments)
+
+
+def test_a_very_long_conversation(spark):
+    rows = [(1, i, ("user", "assistant")[i % 2], f"turn {i} " * (20000 if i == 7 else 3)) for i in range(3000)]
+    out = chat.digest_conversations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()[0]
+    said = "".join(t for *_, r, t in rows if r == "assistant")
+    assert (out.n_turns, out.loss_chars, out.in_order) == (3000, len(said), True) and out.loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
+
+
 def test_chat_digests(spark):
     rows = [(1, 0, "user", "hi </s>"), (1, 1, "assistant", "yo\\[INST]"), (2, 1, "assistant", None), (2, 0, None, "x"), (None, 0, "user", "n"), (3, 0, "user", "same"), (3, 0, "user", "same")]
     turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumn("segment", F.lit(1))
@@ -515,6 +531,20 @@ def test_encoded_documents(docs, nothing):
     assert bpe.encode_documents(nothing, WORD).count() == 0
 
 
+def test_each_token_is_made_of_its_listed_pair():
+    engine = byte_bpe.ByteBpe(BYTE)
+    assert engine.fast is not None
+    ranks = {b"a": 0, b"b": 1, b"c": 2, b"ab": 3, b"bc": 4, b"abc": 5}
+    assert byte_bpe.split_before(b"abc", ranks) == [b"ab", b"c"]
+
+
+def test_quality_rules_on_empty_tables(spark, nothing):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality_rules.apply_rules(nothing, none).count() == 0
+    rows = frame(spark, [(1, "a " * 30, "en"), (1, "a " * 30, "en"), (2, None, None)])
+    assert sorted((r.doc_id, r.base_failed, r.kept) for r in quality_rules.apply_rules(rows, none).collect()) == [(1, True, False), (1, True, False), (2, True, False)]
+
+
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_token_counts(docs, nothing, rule):
     engine, library = byte_bpe.ByteBpe(BYTE), bpe.load(BYTE)
