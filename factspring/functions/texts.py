@@ -49,8 +49,9 @@ def time_band(text: Column) -> Column:
 
 
 def contents_page(text: Column, least: int = 5) -> Column:
-    """Whether a page lists contents: ``least`` lines or more that end in dots or blanks and a page number."""
-    return F.size(F.filter(F.split(text, r"\r?\n"), lambda line: line.rlike(r"\S.*(?:\.{3,}|\s{3,})\s*[0-9]{1,4}\s*$"))) >= least
+    """Whether a page lists contents: ``least`` lines or more that begin with words and end in dots or blanks and a page number. Only a line's ends are looked at."""
+    ends = lambda line: F.right(F.rtrim(line), F.lit(8)).rlike(r"(?:\.{3}|\s{3})\s?[0-9]{1,4}$") & line.rlike(r"^\s*[^\s.0-9]")
+    return F.size(F.filter(F.split(text, r"\r?\n"), ends)) >= least
 
 
 def snippet(text: Column, at: Column, width: int) -> Column:

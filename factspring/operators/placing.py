@@ -60,6 +60,6 @@ def trace_printed(printed: DataFrame, cells: DataFrame, digits: int = 4) -> Data
     used = forms.select("p").distinct()  # a row for each number of places
     there = cells.groupBy("value").count().crossJoin(F.broadcast(used)).select("p", unit(F.col("value"), F.col("p")).alias("at"), "count").groupBy("p", "at").agg(F.sum("count").alias("cells"))
     found = probes.join(there, ["p", "at"]).groupBy("id", "rank").agg(F.sum("cells").alias("cells"))
-    best = found.groupBy("id").agg(F.min_by(F.struct("rank", "cells"), "rank").alias("b"))
-    result = F.when(F.col("_short"), "uninformative").otherwise(F.coalesce(F.element_at(F.array(F.lit("traced"), F.lit("near"), F.lit("opposite")), F.col("b.rank")), F.lit("untraced")))
-    return asked.join(best, "id", "left").select("id", result.alias("result"), F.coalesce("b.cells", F.lit(0)).cast("long").alias("cells"))
+    best = found.groupBy("id").agg(F.min("rank").alias("rank"), F.min_by("cells", "rank").alias("cells"))
+    result = F.when(F.col("_short"), "uninformative").when(F.col("rank") == 1, "traced").when(F.col("rank") == 2, "near").when(F.col("rank") == 3, "opposite").otherwise("untraced")
+    return asked.join(best, "id", "left").select("id", result.alias("result"), F.coalesce("cells", F.lit(0)).cast("long").alias("cells"))

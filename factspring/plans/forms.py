@@ -154,7 +154,8 @@ def placed_labels(spark, sf_dir) -> DataFrame:
 
 @query("printed_trace", """WITH c AS (SELECT DISTINCT (p_retailprice::DECIMAL(18,2) - 1000)::DECIMAL(18,2) AS v FROM part),
 q AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN -1 ELSE 1 END * round(CASE WHEN l_linenumber = 3 THEN l_quantity::INTEGER ELSE ((l_partkey * 13) % 90000) / 100.0 END, 1)::DECIMAL(18,1) AS value, l_linenumber = 5 AS percent FROM lineitem),
-f AS (SELECT l_orderkey, l_linenumber, value AS v, 1 AS p FROM q UNION ALL SELECT l_orderkey, l_linenumber, value / 100, 3 FROM q WHERE percent),
+g AS (SELECT * FROM q WHERE length(abs((value * 10)::BIGINT)::VARCHAR) >= 4),
+f AS (SELECT l_orderkey, l_linenumber, value AS v, 1 AS p FROM g UNION ALL SELECT l_orderkey, l_linenumber, value / 100, 3 FROM g WHERE percent),
 t AS (SELECT l_orderkey, l_linenumber, min(CASE WHEN round(c.v * pow(10, p)::BIGINT, 0) = round(f.v::DECIMAL(18,4) * pow(10, p)::BIGINT, 0) THEN 1 WHEN abs(round(c.v * pow(10, p)::BIGINT, 0) - round(f.v::DECIMAL(18,4) * pow(10, p)::BIGINT, 0)) = 1 THEN 2 ELSE 3 END) AS rank
   FROM f JOIN c ON abs(round(c.v * pow(10, p)::BIGINT, 0) - round(f.v::DECIMAL(18,4) * pow(10, p)::BIGINT, 0)) <= 1 OR round(c.v * pow(10, p)::BIGINT, 0) = -round(f.v::DECIMAL(18,4) * pow(10, p)::BIGINT, 0) GROUP BY ALL)
 SELECT l_orderkey, l_linenumber, CASE WHEN length(abs((value * 10)::BIGINT)::VARCHAR) < 4 THEN 'uninformative' WHEN rank = 1 THEN 'traced' WHEN rank = 2 THEN 'near' WHEN rank = 3 THEN 'opposite' ELSE 'untraced' END AS result FROM q LEFT JOIN t USING (l_orderkey, l_linenumber)""")

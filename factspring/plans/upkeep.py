@@ -230,7 +230,7 @@ def pipe_tables(spark, sf_dir) -> DataFrame:
     return lines.select("s_suppkey", "row", texts.pipe_cells(F.col("line")).alias("cells")).where("cells is not null")
 
 
-@query("contents_pages", r"SELECT doc_id, len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '\S.*(\.{3,}|\s{3,})\s*[0-9]{1,4}\s*$'))) >= 5 AS contents FROM documents")
+@query("contents_pages", r"SELECT doc_id, len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(right(rtrim(l), 8), '(\.{3}|\s{3})\s?[0-9]{1,4}$') AND regexp_matches(l, '^\s*[^\s.0-9]'))) >= 5 AS contents FROM documents")
 def contents_pages(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", texts.contents_page(F.coalesce("text", F.lit(""))).alias("contents"))
 
