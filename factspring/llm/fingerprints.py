@@ -44,9 +44,14 @@ def fingerprint(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumn("tree", tree(F.col(text_col))).withColumn("fingerprint", root(F.col("tree")))
 
 
+def _longs(numbers: list[int]) -> Column:
+    """A constant array that stays one expression however many numbers it has: Catalyst folds it to one literal."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<long>")
+
+
 def _least_at(bounds: list[int], value: Column) -> Column:
     """Index of the first of the sorted ``bounds`` that is not under ``value``, by bisection; 0 for null."""
-    array = F.array(*[F.lit(b).cast("long") for b in bounds])
+    array = _longs(bounds)
     step = lambda s, _: F.when(s["lo"] >= s["hi"], s).otherwise(
         F.when(F.get(array, ((s["lo"] + s["hi"]) / 2).cast("int")) < value, F.struct((((s["lo"] + s["hi"]) / 2).cast("int") + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(
             F.struct(s["lo"].alias("lo"), ((s["lo"] + s["hi"]) / 2).cast("int").alias("hi"))
@@ -70,7 +75,7 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     bounds = sorted({*(cuts["q"] or []), *([cuts["top"]] if cuts["top"] is not None else [])}) or [0]
     n = len(bounds)
     at = _least_at(bounds, F.col("doc_id"))
-    ends = F.get(F.array(*[F.lit(b).cast("long") for b in bounds]), F.col("_b"))
+    ends = F.get(_longs(bounds), F.col("_b"))
     dealt = docs.withColumn("_b", at).withColumn("_guest", F.explode(F.when(F.col("doc_id") == ends, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     dealt = dealt.withColumn("_b", F.when(F.col("_guest") == 1, (F.col("_b") + 1) % n).otherwise(F.col("_b")))
     order = Window.partitionBy("_b").orderBy("_guest", F.col("doc_id").desc_nulls_last(), "text")
