@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import calculation, documents, forms, metrics, operations, reading, relational, structure, upkeep  # noqa: F401  register their queries
+from .plans import calculation, documents, forms, metrics, operations, reading, relational, structure, titles, upkeep  # noqa: F401  register their queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
