@@ -33,10 +33,12 @@ def agreement(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def merged(candidates: DataFrame, keys: list[str], order: list[Column], evidence: str) -> DataFrame:
-    """The best candidate of each key, carrying the evidence of all."""
-    w = Window.partitionBy(*keys)
-    ranked = candidates.withColumn("_all", F.array_sort(F.collect_set(evidence).over(w))).withColumn("_rank", F.row_number().over(w.orderBy(*order)))
-    return ranked.where("_rank = 1").drop("_rank", evidence).withColumnRenamed("_all", evidence)
+    """The best candidate of each key, carrying the distinct evidence of all. The pick and the evidence are made apart, each cut down before its shuffle."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    best = candidates.drop(evidence).withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    all_ = candidates.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(F.array_sort(F.collect_set(evidence)).alias(evidence))
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    return best.join(all_, same).drop(*[f"_of_{k}" for k in keys])
 
 
 _LEVELS = (re.compile(r"^(\d+(?:\.\d+)*)[.)]?\s"), re.compile(r"^\(?([a-z])\)\s"), re.compile(r"^\(?([ivx]{2,})\)\s"))

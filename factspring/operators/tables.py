@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stage
+
 
 def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], preserve: list[str] = ()) -> DataFrame:
     """``incoming`` over ``current`` by natural key; columns in ``preserve`` keep their current value where there is one."""
@@ -30,10 +32,20 @@ def replay(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rank = 1").drop("_rank")
 
 
-def batches(rows: DataFrame, group: str, order: list[str], size: Column, most_bytes: int) -> DataFrame:
-    """Number batches inside each group by running bytes: a new one at each multiple of ``most_bytes``."""
-    before = F.sum(size).over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - size
-    return rows.withColumn("batch", F.floor(before / most_bytes).cast("long"))
+def batches(rows: DataFrame, group: str, order: list[str], size: str, most_bytes: int) -> DataFrame:
+    """Number batches inside each group by running bytes: a new one at each multiple of ``most_bytes``; null sizes count as nought.
+
+    Rows are dealt to ranges of group and order and staged; the totals of a group's ranges, one row each, give where
+    each range begins, so running sums stay inside ranges and a large group isn't one task's.
+    """
+    bytes_ = F.coalesce(F.col(size), F.lit(0)).cast("long")
+    dealt = stage(rows.repartitionByRange(F.col(group), *map(F.col, order)).withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy(group, "_range").agg(F.sum(bytes_).alias("_total"))
+    begin = F.sum("_total").over(Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_total")
+    starts = totals.select(F.col(group).alias("_group"), F.col("_range").alias("_at"), begin.alias("_begin"))
+    placed = dealt.join(starts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_at")))
+    inside = F.sum(bytes_).over(Window.partitionBy(group, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - bytes_
+    return placed.withColumn("batch", F.floor((F.col("_begin") + inside) / most_bytes).cast("long")).select(*rows.columns, "batch")
 
 
 def current_of(events: DataFrame, key: str) -> DataFrame:

@@ -90,7 +90,7 @@ def replay_last(spark, sf_dir) -> DataFrame:
 @query("ingest_batches", "SELECT source, doc_id, (sum(strlen(text) + 1) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) - strlen(text) - 1) // 8192 AS batch FROM documents")
 def ingest_batches(spark, sf_dir) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("source", "doc_id", (F.octet_length("text") + 1).alias("size"))
-    return tables.batches(d, "source", ["doc_id"], F.col("size"), 8192).drop("size")
+    return tables.batches(d, "source", ["doc_id"], "size", 8192).drop("size")
 
 
 @query("queue_state", "SELECT event_type AS kind, CASE WHEN value < 10 THEN 'queued' WHEN value < 30 THEN 'running' ELSE 'done' END AS state, count(*) AS n, min(ts) AS oldest FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS rn FROM events) WHERE rn <= 3 GROUP BY ALL")
