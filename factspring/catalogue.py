@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import calculation, checks, documents, forms, metrics, operations, reading, relational, selection, structure, titles, upkeep, work  # noqa: F401  register their queries
+from .plans import calculation, checks, documents, forms, metrics, operations, reading, relational, selection, sheets, structure, titles, upkeep, work  # noqa: F401  register their queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import sheets
 from ..operators.latest import latest, newest_ties, top_in_group
 from ..registry import query
 from ..sources.catalog import FACTS_SQL, facts, table
@@ -206,9 +207,7 @@ SELECT o_orderkey, o_totalprice::DECIMAL(18,2) AS value, middle, CASE WHEN middl
 def outlier_set_aside(spark, sf_dir) -> DataFrame:
     """Figures far from their group's median (of positive ones, three at least), with the reason; those of smaller groups are kept and never set aside. Aggregated, then joined back."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("decimal(18,2)").alias("value"))
-    m = o.where("value > 0").groupBy("o_custkey").agg(F.median(F.col("value").cast("double")).alias("middle"), F.count("*").alias("n")).where("n >= 3")
-    why = F.expr("case when middle is null then null when value <= 0 then 'not above zero' when cast(value as double) < middle / 5 then 'under a fifth of the median' when cast(value as double) > middle * 5 then 'over five times the median' end")
-    return o.join(m, "o_custkey", "left").select("o_orderkey", "value", "middle", why.alias("set_aside"))
+    return sheets.set_aside(o, ["o_custkey"], "value", F.lit(True)).select("o_orderkey", "value", "middle", "set_aside")
 
 
 @query("main_table", "SELECT l_orderkey, l_suppkey FROM (SELECT l_orderkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY count(*) DESC, sum(l_quantity) DESC, l_suppkey) AS rn FROM lineitem GROUP BY l_orderkey, l_suppkey) WHERE rn = 1")

@@ -9,7 +9,7 @@ from ..calc.fixpoint import fill
 from ..calc.reproduce import reproduce
 from ..calc.rules import Input, Rule, RuleSet
 from ..functions import figures, labels
-from ..operators import structure
+from ..operators import sheets, structure
 from ..operators.tables import input_hash
 from ..registry import query
 from ..sources.catalog import table
@@ -61,9 +61,9 @@ def merge_candidates(spark, sf_dir) -> DataFrame:
 
 @query("candidate_routing", "SELECT o_orderkey, CASE WHEN o_totalprice > 400000 THEN 'expert' WHEN o_orderstatus = 'P' OR o_orderpriority = '1-URGENT' THEN 'review' ELSE 'batch' END AS route, concat_ws(',', CASE WHEN o_totalprice > 400000 THEN 'large' END, CASE WHEN o_orderstatus = 'P' THEN 'partial' END, CASE WHEN o_orderpriority = '1-URGENT' THEN 'urgent' END) AS risks FROM orders")
 def candidate_routing(spark, sf_dir) -> DataFrame:
-    risks = F.concat_ws(",", *[F.when(F.expr(c), F.lit(n)) for n, c in (("large", "o_totalprice > 400000"), ("partial", "o_orderstatus = 'P'"), ("urgent", "o_orderpriority = '1-URGENT'"))])
-    route = F.expr("case when o_totalprice > 400000 then 'expert' when o_orderstatus = 'P' or o_orderpriority = '1-URGENT' then 'review' else 'batch' end")
-    return table(spark, sf_dir, "orders").select("o_orderkey", route.alias("route"), risks.alias("risks"))
+    large, partial, urgent = F.col("o_totalprice") > 400000, F.col("o_orderstatus") == "P", F.col("o_orderpriority") == "1-URGENT"
+    route = sheets.routed([("expert", large), ("review", partial | urgent)], "batch")
+    return table(spark, sf_dir, "orders").select("o_orderkey", route.alias("route"), sheets.risks({"large": large, "partial": partial, "urgent": urgent}).alias("risks"))
 
 
 @query("clause_outline")
