@@ -105,3 +105,51 @@ def worked_examples(examples: DataFrame, computed: Column, expected: str, places
     at = lambda c: F.round(c.cast("decimal(38,10)"), places)
     got, want = at(computed), at(F.col(expected))
     return examples.withColumn("problem", F.when(got.isNull(), F.lit("gives nothing")).when(want.isNull(), "expects nothing").when(got != want, F.concat(F.lit("gives "), got.cast("string"))))
+
+
+def extended(jobs: DataFrame, beats: DataFrame, job: str, run: str, at: str, seconds: int) -> DataFrame:
+    """``jobs`` with ``lease_expires`` moved to ``seconds`` after the last beat of the run that holds a leased job; beats of other runs move nothing, and no beat shortens a lease."""
+    last = beats.groupBy(job, run).agg((F.max(at) + seconds).alias("_until"))
+    held = jobs.where("status = 'leased'").select(job, run).join(last, [job, run]).select(job, "_until")
+    return jobs.join(held, job, "left").withColumn("lease_expires", F.greatest("lease_expires", "_until")).drop("_until")
+
+
+def release_state(candidates: DataFrame, source: list[str], final: Column, open_: Column, blocked: Column) -> DataFrame:
+    """``source, publishable, open, blocked, may``: what a release of each source would hold and what stands in its way: nothing final, or a blocking finding on what is. Open candidates don't hold it up; they stay out."""
+    out = candidates.groupBy(*source).agg(F.count_if(final).alias("publishable"), F.count_if(open_).alias("open"), F.count_if(final & blocked).alias("blocked"))
+    return out.withColumn("may", (F.col("publishable") > 0) & (F.col("blocked") == 0))
+
+
+def released(candidates: DataFrame, states: DataFrame, releases: DataFrame, source: list[str], final: Column) -> tuple[DataFrame, DataFrame]:
+    """The facts of new releases and the table of releases after them.
+
+    Each source that ``may`` gets release ``n + 1`` with all its final candidates, since releases are cumulative, and its
+    release before is superseded by it. ``releases`` has ``source``, release and superseded_by.
+    """
+    last = releases.groupBy(*source).agg(F.max("release").alias("_last"))
+    new = states.where("may").select(*source).join(last, source, "left").select(*source, "_last", (F.coalesce("_last", F.lit(0)) + 1).alias("release"))
+    facts = candidates.where(final).join(new.drop("_last"), source)
+    old = releases.join(new.select(*source, F.col("_last"), F.col("release").alias("_new")), source, "left")
+    old = old.select(*source, "release", F.when(F.col("release") == F.col("_last"), F.col("_new")).otherwise(F.col("superseded_by")).alias("superseded_by"))
+    return facts, old.unionByName(new.select(*source, "release", F.lit(None).cast(releases.schema["superseded_by"].dataType).alias("superseded_by")))
+
+
+#: Numbered provisions, lettered ones inside a line, and codes of categories.
+PROVISION = r"^\s*(\d{1,2})\s*[.)]\s+([A-Z(].{15,})$"
+SUB_PROVISION = r"(?<![\w.])\d{1,2}\([a-z]\)\s+[A-Z].{15,}"
+CATEGORY = r"\b(?:LMV|HV|LT|HT|HTP|RGP|GLP|AG|LTMD|WWSP|TMP)\s*[-–—]?\s*\d{0,2}(?:\s*\([A-Za-z]\))?\b"
+
+
+def conditions(lines: DataFrame, document: list[str], page: str, line: str, text: str, schedules: DataFrame) -> DataFrame:
+    """``document, page, line, number, text, categories`` of the general provisions up to the page of a document's first schedule (``schedules``: document, page), verbatim to 600 characters.
+
+    A lettered provision inside a line is one of its own. All lines count where a document has no schedule.
+    """
+    first = schedules.groupBy(*document).agg(F.min(page).alias("_first"))
+    before = lines.join(first, document, "left").where(F.col("_first").isNull() | (F.col(page) <= F.col("_first")))
+    whole = F.when(F.col(text).rlike(PROVISION), F.array(F.trim(text)))
+    inside = F.regexp_extract_all(F.col(text), F.lit(SUB_PROVISION), F.lit(0))
+    found = before.select(*document, page, line, F.explode(F.concat(F.coalesce(whole, F.array().cast("array<string>")), F.coalesce(inside, F.array().cast("array<string>")))).alias("_t"))
+    number = F.coalesce(F.nullif(F.regexp_extract("_t", r"^(\d{1,2}\([a-z]\))", 1), F.lit("")), F.regexp_extract("_t", r"^(\d{1,2})", 1))
+    codes = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("_t", F.lit(CATEGORY), F.lit(0)), lambda c: F.upper(F.regexp_replace(c, r"\s+", "")))))
+    return found.select(*document, page, line, number.alias("number"), F.substring(F.trim("_t"), 1, 600).alias("text"), codes.alias("categories"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import work
 from ..registry import query
 from ..sources.catalog import table
+from .forms import _sql
 
 _STATE = (
     "c_custkey", "c_custkey % 11 > 0 AS fetched", "c_custkey % 7 > 0 AS textlayer", "c_custkey % 3 > 0 AS layout", "c_custkey % 5 = 0 AS cloud", "c_custkey % 4 = 0 AS llm", "c_custkey % 6 > 1 AS verified", "c_custkey % 13 = 0 AS stale",
@@ -71,3 +72,50 @@ def worked_examples(spark, sf_dir) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").withColumn("expected", F.when(F.col("l_linenumber") != 4, (F.col("l_quantity") * 2 + F.when(F.col("l_linenumber") == 3, 0.01).otherwise(0.0)).cast("decimal(12,4)")))
     made = F.when(F.col("l_linenumber") != 5, (F.col("l_quantity") * 2).cast("decimal(12,4)"))
     return work.worked_examples(rows, made, "expected", 2).select("l_orderkey", "l_linenumber", "l_partkey", "problem")
+
+
+@query("leases_extended", """WITH j AS (SELECT o_orderkey, o_custkey % 3 AS run, CASE WHEN o_orderstatus = 'O' THEN 'leased' ELSE 'queued' END AS status, o_custkey % 100 AS lease_expires FROM orders), b AS (SELECT l_orderkey, l_suppkey % 3 AS run, max(l_partkey % 200) AS beat FROM lineitem GROUP BY ALL)
+SELECT o_orderkey, CASE WHEN status = 'leased' THEN greatest(lease_expires, coalesce(beat + 60, lease_expires)) ELSE lease_expires END AS lease_expires FROM j LEFT JOIN b ON l_orderkey = o_orderkey AND b.run = j.run""")
+def leases_extended(spark, sf_dir) -> DataFrame:
+    """Leases after the heartbeats of the runs that hold them (Q4)."""
+    jobs = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey % 3 as run", "case when o_orderstatus = 'O' then 'leased' else 'queued' end as status", "o_custkey % 100 as lease_expires")
+    beats = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as o_orderkey", "l_suppkey % 3 as run", "l_partkey % 200 as at")
+    return work.extended(jobs, beats, "o_orderkey", "run", "at", 60).select("o_orderkey", "lease_expires")
+
+
+_FINAL = "l_returnflag <> 'R' AND l_linenumber < 6"
+
+
+@query("releases_made", f"""WITH c AS (SELECT l_suppkey, {_FINAL} AS final, l_returnflag = 'A' AND l_quantity > 49 AND l_suppkey % 4 = 0 AS blocked FROM lineitem), s AS (SELECT l_suppkey, count(*) FILTER (final) AS n FROM c GROUP BY l_suppkey HAVING count(*) FILTER (final) > 0 AND count(*) FILTER (final AND blocked) = 0),
+r AS (SELECT s_suppkey, k, CASE WHEN k < s_suppkey % 3 THEN k + 1 END AS superseded_by FROM supplier, (VALUES (1), (2)) v(k) WHERE k <= s_suppkey % 3)
+SELECT s_suppkey AS l_suppkey, k AS release, CASE WHEN k = s_suppkey % 3 AND s_suppkey IN (SELECT l_suppkey FROM s) THEN k + 1 ELSE superseded_by END AS superseded_by, NULL::BIGINT AS facts FROM r UNION ALL SELECT l_suppkey, l_suppkey % 3 + 1, NULL, n FROM s""")
+def releases_made(spark, sf_dir) -> DataFrame:
+    """New releases of sources with nothing in the way, and those that they supersede."""
+    lines = table(spark, sf_dir, "lineitem")
+    final = F.expr(_FINAL)
+    state = work.release_state(lines, ["l_suppkey"], final, F.col("l_returnflag") == "R", (F.col("l_returnflag") == "A") & (F.col("l_quantity") > 49) & (F.col("l_suppkey") % 4 == 0))
+    had = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.explode(F.expr("array(1L, 2L)")).alias("release")).where("release <= l_suppkey % 3").withColumn("superseded_by", F.expr("case when release < l_suppkey % 3 then release + 1 end"))
+    facts, releases = work.released(lines, state, had, ["l_suppkey"], final)
+    return releases.join(facts.groupBy("l_suppkey", "release").agg(F.count("*").alias("facts")), ["l_suppkey", "release"], "left")
+
+
+#: line: (number, categories) of each provision in it
+PROVISIONS = {
+    "3. The rates of LMV - 2 and HV-1 apply to all supply": [("3", "HV-1 LMV-2")],
+    "As in 20(f) The regulatory discount shall not apply": [("20(f)", "")],
+    "4) (Applies) with 5(a) Consumers of LT shall pay the minimum": [("4", "LT"), ("5(a)", "LT")],
+    "3. lower case is prose and no provision": [],
+    "2. Short": [],
+    "Rate of LMV-1": [],
+}
+_LINES = ", ".join(f"({i}, {_sql(number)}, {_sql(codes)})" for i, found in enumerate(PROVISIONS.values()) for number, codes in found)
+
+
+@query("conditions_extracted", f"""WITH f AS (SELECT p_size, min(p_partkey % 10) AS first FROM part WHERE p_brand = 'Brand#4' GROUP BY p_size)
+SELECT p_partkey, number, categories FROM part JOIN (VALUES {_LINES}) v(i, number, categories) ON i = p_partkey % {len(PROVISIONS)} LEFT JOIN f USING (p_size) WHERE first IS NULL OR p_partkey % 10 <= first""")
+def conditions_extracted(spark, sf_dir) -> DataFrame:
+    """Provisions before a document's first schedule, with the categories that they name (X18; footnotes and clauses are other queries')."""
+    text = F.get(F.array(*map(F.lit, PROVISIONS)), (F.col("p_partkey") % len(PROVISIONS)).cast("int"))
+    lines = table(spark, sf_dir, "part").select("p_size", (F.col("p_partkey") % 10).alias("page"), "p_partkey", "p_brand", text.alias("text"))
+    out = work.conditions(lines, ["p_size"], "page", "p_partkey", "text", lines.where("p_brand = 'Brand#4'"))
+    return out.select("p_partkey", "number", F.concat_ws(" ", "categories").alias("categories"))
