@@ -9,6 +9,18 @@ import tiktoken
 
 from .bpe import load
 
+#: White space that the second engine isn't given in one run: it backs up through such a run one character at a time and ends the process at about a million.
+LONG_BLANK = 10_000
+_BLANK = np.array([chr(c).isspace() for c in range(0x3002)])  # no higher character is white space
+
+
+def has_long_blank(text: str) -> bool:
+    """Whether ``LONG_BLANK`` characters of white space stand on end, in time linear in the text."""
+    if len(text) < LONG_BLANK:
+        return False
+    other = np.flatnonzero(~_BLANK[np.minimum(np.frombuffer(text.encode("utf-32-le", "replace"), "<u4"), len(_BLANK) - 1)])
+    return int(np.diff(other, prepend=-1, append=len(text)).max()) > LONG_BLANK
+
 
 def _byte_of() -> dict[str, int]:
     """The byte that each letter of a byte-level vocabulary stands for: printable ones for themselves, the rest in order from U+0100."""
@@ -32,7 +44,7 @@ class ByteBpe:
     """Encodes as the tokenizers library does with the file at ``path``, without special tokens added.
 
     The file's vocabulary runs in a second, faster engine where that must give the same ids: the file's ids follow
-    its merges' order, each token is made of the pair listed for it, and no added token stands in the text. Other texts go through tokenizers itself.
+    its merges' order, each token is made of the pair listed for it, and no added token and no ``LONG_BLANK`` characters of white space on end stand in the text. Other texts go through tokenizers itself.
     """
 
     def __init__(self, path: str):
@@ -58,7 +70,7 @@ class ByteBpe:
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
 
     def encode(self, text: str) -> list[int]:
-        if self.fast is None or any(t in text for t in self.added):
+        if self.fast is None or any(t in text for t in self.added) or has_long_blank(text):
             return self.tokenizer.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 

@@ -465,6 +465,24 @@ def test_packing(docs, nothing):
     assert packing.pack_documents(nothing, BYTE).count() == 0
 
 
+def test_very_long_runs_are_packed_and_counted(spark):
+    tokenizer = bpe.load(BYTE)
+    assert not byte_bpe.has_long_blank((" " * (byte_bpe.LONG_BLANK - 1) + "x") * 3) and byte_bpe.has_long_blank("x" + "\u3000" * byte_bpe.LONG_BLANK)
+    long = {1: " " * 1_000_000, 2: "x" + "\n" * 1_200_000 + "y", 3: "a" * 1_000_000, 4: "-" * 1_000_000, 5: "a \n\t" * 300_000, 6: " " * 5_000_000, 7: " " * byte_bpe.LONG_BLANK, 8: "z" + " " * (byte_bpe.LONG_BLANK - 1) + "z"}
+    docs = spark.createDataFrame(list(long.items()), "doc_id long, text string").repartition(4)
+    size = {d: len(tokenizer.encode(t, add_special_tokens=False).ids) for d, t in long.items()}
+    packed = packing.pack_documents(docs, BYTE).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("piece").alias("last"), F.count("*").alias("pieces")).collect()
+    assert {r.doc_id: r.n for r in packed} == {d: n + 1 for d, n in size.items()} and all(r.last == r.pieces - 1 for r in packed)
+    counted = token_counts.count_tokens(docs, BYTE).groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.sum("n_chars").alias("chars")).collect()
+    assert {r.doc_id: (r.n, r.chars) for r in counted} == {d: (n, len(long[d])) for d, n in size.items()}
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "e", "-"])
+def test_runs_of_five_million_encode_as_the_library_does(run):
+    text = "x" + run * 5_000_000 + "y"
+    assert byte_bpe.shared(BYTE).encode(text) == bpe.load(BYTE).encode(text, add_special_tokens=False).ids
+
+
 # 8 and 9
 
 
