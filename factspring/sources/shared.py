@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import weakref
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Shuffle files behind a table that was written go at once; nothing reads them again.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[str] = []
+_folder_of: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,7 +35,22 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(_CLEANUP, before)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _folder_of[table] = path
+    return table
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Remove a staged table that nothing reads any more. ``table`` is what ``stage`` returned; other frames are left alone."""
+    path = _folder_of.pop(table, None)
+    if path:
+        _remove(table.sparkSession, path)
+        _written.remove(path)
 
 
 @contextmanager
@@ -43,8 +60,6 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         for path in _written[first:]:
-            folder = jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(conf).delete(folder, True)
+            _remove(spark, path)
         del _written[first:]
