@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fingerprints, language_id, near_dedup, packing, quality_rules, sharding, suffix_dedup, token_counts
+from . import bpe, chat, fingerprints, language_id, near_dedup, packing, quality_rules, ranked_search, sharding, suffix_dedup, token_counts, vector_codes, vector_dedup
 
 
 LENIENT = 0.2
@@ -68,6 +68,18 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.link_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("tier")
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_quality_rules": op1_quality_rules,
@@ -82,9 +94,15 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_token_counts": op9_token_counts,
     "op10_fingerprints": op10_fingerprints,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_vector_dedup": op12_vector_dedup,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 ORACLES = {
+    "op11_vector_codes": vector_codes.codes_sql(),
+    "op12_vector_dedup": vector_dedup.LINKS_SQL,
+    "op13_ranked_search": ranked_search.SEARCH_SQL,
     "op3_sharding": """
 WITH s(v) AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, n))),
 b AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes FROM documents),

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from ..shipping import ship
-from ..sources.shared import shared_folder, stage
+from ..sources.shared import discard, shared_folder, stage
 
-__all__ = ["shared_folder", "ship", "stage", "width"]
+__all__ = ["discard", "shared_folder", "ship", "stage", "width"]
 
 
 def width(spark: SparkSession) -> int:
