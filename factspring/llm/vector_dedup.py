@@ -223,12 +223,12 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(fine).select("vec_id", F.concat_ws(":", F.size("embedding"), "label").alias("kind"), "embedding")
 
 
-def fit(rows: DataFrame, n: int, size: int, cosine: float, sample: int = SAMPLE) -> Index:
-    """An index fitted on the ``sample`` rows of least hash: lists of about a thousand vectors, 4096 of them at most."""
+def fit(rows: DataFrame, many: int, size: int, cosine: float, sample: int = SAMPLE) -> Index:
+    """An index of ``many`` lists at most, fitted on the ``sample`` rows of least hash."""
     chosen = rows.select(F.xxhash64("named").alias("h"), "embedding").orderBy("h", "embedding").limit(sample).select("embedding").toArrow()
     column = chosen.column("embedding").combine_chunks()
     _, unit = as_unit(column.chunk(0) if isinstance(column, pa.ChunkedArray) else column, size)
-    return Index.fitted(unit, min(4096, max(8, n // 1024)), cosine)
+    return Index.fitted(unit, many, cosine)
 
 
 def link_vectors(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE) -> DataFrame:
@@ -236,7 +236,7 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPL
 
     Equal vectors of a kind stand for each other, the least vec_id for all. Each other vector looks through the lists
     it probes; members of a list that are within half the reach of its centre, its core, all link and are counted,
-    not compared. Lists and their queries are dealt out in shares, and a share's task gives sums and a spanning set of links, never
+    not compared. A kind's lists have about half a share each, so that a query goes to few shares; there are 4096 at most. Lists and their queries are dealt out in shares, and a share's task gives sums and a spanning set of links, never
     its pairs.
 
     Vectors that are null, empty, zero, hold a component that is null or not finite, or have a null label link with
@@ -250,11 +250,11 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPL
     equal = salted.groupBy("kind", "embedding", "salt").agg(F.min("vec_id").alias("least"), F.count("*").alias("many"))
     nodes = equal.groupBy("kind", "embedding").agg(F.min("least").alias("named"), F.sum("many").alias("weight"))
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "distinct-vectors")  # numbered once, as it is written
-    size, n = nodes.agg(F.max(F.size("embedding")), F.count("*")).first()
+    size, n, kinds = nodes.agg(F.max(F.size("embedding")), F.count("*"), F.count_distinct("kind")).first()
     if not n:
         own = F.col("vec_id").cast("long")
         return vectors.select(own.alias("vec_id"), F.lit(0).cast("long").alias("n_links"), own.alias("component_id"), F.lit(True).alias("kept"))
-    index = fit(nodes, n, size, cosine, sample)
+    index = fit(nodes, min(4096, max(8, 2 * n // (kinds * MEMBERS))), size, cosine, sample)
     return _linked(vectors, rows, nodes, index, size, cosine)
 
 
