@@ -16,13 +16,13 @@ def planned(states: DataFrame, document: str, paid: dict[str, float], budget: di
     is_ = lambda c: F.coalesce(F.col(c), F.lit(False))
     read = is_("fetched") & is_("textlayer")
     work = {
-        "fetch": (~is_("fetched"), F.lit("no page text yet")),
-        "parse:textlayer": (is_("fetched") & ~is_("textlayer"), F.lit("not read yet")),
-        "parse:layout": (read & ~is_("layout") & ((F.col("tables") == 0) | (F.col("blank_pages") > 0)), F.when(F.col("tables") == 0, "no table in the text layer").otherwise("pages without a text layer")),
-        "parse:cloud": (read & is_("verified") & is_("layout") & ~is_("cloud") & (F.col("shared") > 0) & (F.col("disagree") > 0.2 * F.col("shared")), F.lit("two readers disagree")),
-        "extract": (read & ~is_("llm") & (F.col("tables") > 0), F.lit("tables read, parameters not extracted")),
-        "verify": (read & (~is_("verified") | is_("stale")), F.when(is_("verified"), "a reader ran after the last verification").otherwise("not verified yet")),
-        "index": (read & ~is_("indexed"), F.lit("paragraphs not indexed")),
+        "fetch": (~is_("fetched"), F.lit("its pages were never fetched")),
+        "parse:textlayer": (is_("fetched") & ~is_("textlayer"), F.lit("its text layer was never read")),
+        "parse:layout": (read & ~is_("layout") & ((F.col("tables") == 0) | (F.col("blank_pages") > 0)), F.when(F.col("tables") == 0, "no table found by its text layer").otherwise("blank pages in its text layer")),
+        "parse:cloud": (read & is_("verified") & is_("layout") & ~is_("cloud") & (F.col("shared") > 0) & (F.col("disagree") > 0.2 * F.col("shared")), F.lit("readers differ on a fifth of shared figures")),
+        "extract": (read & ~is_("llm") & (F.col("tables") > 0), F.lit("its tables wait for extraction")),
+        "verify": (read & (~is_("verified") | is_("stale")), F.when(is_("verified"), "read again since it was verified").otherwise("never verified")),
+        "index": (read & ~is_("indexed"), F.lit("never indexed")),
     }
     each = F.array_compact(F.array(*[F.when(condition, F.struct(F.lit(kind).alias("kind"), reason.alias("reason"))) for kind, (condition, reason) in work.items()]))
     out = states.select(document, F.explode(each).alias("w")).select(document, "w.*")

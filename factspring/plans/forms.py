@@ -1,8 +1,8 @@
-"""Printed forms of cells, slabs, labels and figures: each part carries one of a list of forms; the SQL holds what each must give."""
+"""Cells, slabs, labels and figures printed from the tables' own columns, and read back; the SQL goes by the columns."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cells, labels
@@ -24,102 +24,65 @@ def _carried(spark, sf_dir, forms: list[str], name: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.get(F.array(*map(F.lit, forms)), (F.col("p_partkey") % len(forms)).cast("int")).alias(name))
 
 
-#: text: state, value, currency, per_unit, frequency, percent, percent_of, sign, reference, marked, secondary
-CELLS = {
-    "1,23,456.78": ("value", "123456.78", None, None, None, False, None, None, None, False, None),
-    " 12.50 * ": ("value", "12.50", None, None, None, False, None, None, None, True, None),
-    "**": ("footnote_only", None, None, None, None, False, None, None, None, True, None),
-    "": ("unknown", None, None, None, None, False, None, None, None, False, None),
-    "–": ("not_applicable", None, None, None, None, False, None, None, None, False, None),
-    "N.A.": ("not_applicable", None, None, None, None, False, None, None, None, False, None),
-    "Not  applicable": ("not_applicable", None, None, None, None, False, None, None, None, False, None),
-    "Nil": ("zero", None, None, None, None, False, None, None, None, False, None),
-    "0.00": ("zero", "0.00", None, None, None, False, None, None, None, False, None),
-    "As applicable to LMV-1.": ("cross_reference", None, None, None, None, False, None, None, "LMV-1", False, None),
-    "Rate as per HV-2": ("cross_reference", None, None, None, None, False, None, None, "HV-2", False, None),
-    "(+) 15%": ("value", "15", None, None, None, True, None, 1, None, False, None),
-    "-7.5 % of the energy charge": ("value", "7.5", None, None, None, True, "energy charge", -1, None, False, None),
-    "0%": ("zero", "0", None, None, None, True, None, None, None, False, None),
-    "computed by the formula": ("formula", None, None, None, None, False, None, None, None, False, None),
-    "a = b + c": ("formula", None, None, None, None, False, None, None, None, False, None),
-    "Rs. 6.50/kWh": ("value", "6.50", "rupees", "kWh", None, False, None, None, None, False, None),
-    "INR 1,200 per kVA": ("value", "1200", "rupees", "kVA", None, False, None, None, None, False, None),
-    "650 paise per unit": ("value", "650", "paise", "unit", None, False, None, None, None, False, None),
-    "Rs. 15/- per month": ("value", "15", "rupees", "connection", "per_month", False, None, None, None, False, None),
-    "Rs 90/kW/month": ("value", "90", "rupees", "kW", "per_month", False, None, None, None, False, None),
-    "250 per annum": ("value", "250", None, None, "per_annum", False, None, None, None, False, None),
-    "122 (12.84)": ("value", "122", None, None, None, False, None, None, None, False, "12.84"),
-    "(45.2)": ("value", "-45.2", None, None, None, False, None, None, None, False, None),
-    "12 . 40": ("value", "12.40", None, None, None, False, None, None, None, False, None),
-    "7 25": ("value", "7.25", None, None, None, False, None, None, None, False, None),
-    ".5": ("value", "0.5", None, None, None, False, None, None, None, False, None),
-    "-3": ("value", "-3", None, None, None, False, None, None, None, False, None),
-    "see the order": ("unknown", None, None, None, None, False, None, None, None, False, None),
-    "1.2.3": ("unknown", None, None, None, None, False, None, None, None, False, None),
-}
 _CELL_FIELDS = ("state", "value", "currency", "per_unit", "frequency", "percent", "percent_of", "sign", "reference", "marked", "secondary")
+#: A line's figures in the dialects of both: price, quantity and percentage as printed.
+_PRICE, _MANY, _SHARE = "cast(cast(l_extendedprice as decimal(18,2)) as varchar(30))", "cast(cast(l_quantity as int) as varchar(20))", "cast(cast(round(l_discount * 100) as int) as varchar(20))"
 
 
-@query("cell_forms", f"SELECT p_partkey, {', '.join(f'{f} AS cell_{f}' for f in _CELL_FIELDS)} FROM part JOIN (VALUES {_values(CELLS.values())}) v(i, {', '.join(_CELL_FIELDS)}) ON i = p_partkey % {len(CELLS)}")
+@query("cell_forms", f"""SELECT l_orderkey, l_linenumber,
+  CASE l_linenumber WHEN 3 THEN CASE WHEN round(l_discount * 100) = 0 THEN 'zero' ELSE 'value' END WHEN 5 THEN CASE l_returnflag WHEN 'N' THEN 'zero' ELSE 'not_applicable' END WHEN 7 THEN 'cross_reference' ELSE 'value' END AS cell_state,
+  CASE l_linenumber WHEN 1 THEN {_PRICE} WHEN 3 THEN {_SHARE} WHEN 4 THEN '-' || {_PRICE} WHEN 2 THEN {_MANY} WHEN 6 THEN {_MANY} END AS cell_value, CASE l_linenumber WHEN 1 THEN 'rupees' WHEN 2 THEN 'paise' END AS cell_currency,
+  CASE l_linenumber WHEN 1 THEN 'kWh' WHEN 2 THEN 'unit' END AS cell_per_unit, NULL::VARCHAR AS cell_frequency, l_linenumber = 3 AS cell_percent, CASE WHEN l_linenumber = 3 THEN 'energy charge' END AS cell_percent_of,
+  CASE WHEN l_linenumber = 3 THEN CASE WHEN l_tax > 0.04 THEN 1 ELSE -1 END END AS cell_sign, CASE WHEN l_linenumber = 7 THEN 'LMV-' || l_suppkey END AS cell_reference, l_linestatus = 'F' AS cell_marked, CASE WHEN l_linenumber = 6 THEN {_PRICE} END AS cell_secondary FROM lineitem""")
 def cell_forms(spark, sf_dir) -> DataFrame:
-    """Every rung of the cell normaliser's ladder."""
-    out = cells.normalise(_carried(spark, sf_dir, list(CELLS), "printed"), "printed")
-    return out.select("p_partkey", *[F.col(f"cell.{f}").alias(f"cell_{f}") for f in _CELL_FIELDS])
-
-
-#: label: lower, upper, lower_in, upper_in, known, kind, unit, reference
-SLABS = {
-    "Up to and including 100 kWh": (None, "100", None, True, "explicit", "absolute", "kWh", None),
-    "upto 50 units": (None, "50", None, True, "inferred", "absolute", "unit", None),
-    "First 1,000 kVAh": ("0", "1000", True, True, "inferred", "telescopic_first", "kVAh", None),
-    "Next  200 units": (None, "200", False, True, "inferred", "telescopic_next", "unit", None),
-    "Demand in excess of contract demand": (None, None, False, None, "explicit", "open", None, "contract_demand"),
-    "Above 100 - 300": ("100", "300", False, True, "inferred", "absolute", None, None),
-    "101-150 kWh": ("101", "150", True, True, "inferred", "absolute", "kWh", None),
-    "151 kW to 300 kW": ("151", "300", True, True, "inferred", "absolute", "kW", None),
-    "Above 500": ("500", None, False, None, "inferred", "open", None, None),
-    "75 HP and above": ("75", None, True, None, "explicit", "open", "HP", None),
-    ">= 10": ("10", None, True, None, "explicit", "open", None, None),
-    "> 10.5": ("10.5", None, False, None, "explicit", "open", None, None),
-    "less than 20": (None, "20", None, False, "explicit", "absolute", None, None),
-    "<= 20 kVA": (None, "20", None, True, "explicit", "absolute", "kVA", None),
-    "all consumption": (None,) * 8,
-    "": (None,) * 8,
-}
-_SLAB_FIELDS = ("lower", "upper", "lower_in", "upper_in", "known", "kind", "unit", "reference")
+    """Each line's figures printed as a cell of one of the ladder's forms, and read back."""
+    printed = F.expr(f"""concat(case l_linenumber when 1 then concat('Rs. ', {_PRICE}, '/kWh') when 2 then concat({_MANY}, ' paise per unit') when 3 then concat(if(l_tax > 0.04, '(+) ', '-'), {_SHARE}, ' % of the energy charge') when 4 then concat('(', {_PRICE}, ')')
+      when 5 then case l_returnflag when 'A' then 'N.A.' when 'N' then 'Nil' else '–' end when 6 then concat({_MANY}, ' (', {_PRICE}, ')') else concat('As applicable to LMV-', l_suppkey, '.') end, if(l_linestatus = 'F', ' *', ''))""")
+    out = cells.normalise(table(spark, sf_dir, "lineitem").withColumn("printed", printed), "printed")
+    return out.select("l_orderkey", "l_linenumber", *[F.col(f"cell.{f}").alias(f"cell_{f}") for f in _CELL_FIELDS])
 
 
-@query("slab_forms", f"SELECT p_partkey, {', '.join(f'{f} AS slab_{f}' for f in _SLAB_FIELDS)} FROM part JOIN (VALUES {_values(SLABS.values())}) v(i, {', '.join(_SLAB_FIELDS)}) ON i = p_partkey % {len(SLABS)}")
-def slab_forms(spark, sf_dir) -> DataFrame:
-    """Every form of a slab label, with inclusivity and how it is known."""
-    out = _carried(spark, sf_dir, list(SLABS), "printed").withColumn("slab", cells.slab_bounds(F.col("printed")))
-    return out.select("p_partkey", *[F.col(f"slab.{f}").alias(f"slab_{f}") for f in _SLAB_FIELDS])
+_SLAB_FIELDS = ("lower", "upper", "lower_in", "upper_in", "known", "kind", "unit", "reference")
+_A, _B = "cast(cast(l_quantity as int) as varchar(20))", "cast(cast(l_quantity as int) + 10 * l_linenumber as varchar(20))"
 
 
-_SCHEDULES = {"apart": ("0-100", "101-300", "above 300"), "twice": ("0-100", "100-300", "above 300"), "gap": ("up to 100", "above 150", "")}
-_SEEN = {"apart": (("inferred", None), ("inferred", None), ("inferred", None)), "twice": (("ambiguous", None), ("ambiguous", "claimed twice"), ("inferred", None)), "gap": (("ambiguous", None), ("ambiguous", "gap"), (None, None))}
+@query("slab_forms", f"""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber IN (3, 4) THEN {_A} WHEN l_linenumber IN (5, 6) THEN {_B} WHEN l_linenumber = 2 THEN '0' WHEN l_linenumber = 7 AND l_returnflag = 'N' THEN {_A} END AS slab_lower,
+  CASE WHEN l_linenumber < 5 THEN {_B} WHEN l_linenumber = 7 AND l_returnflag <> 'N' THEN {_A} END AS slab_upper,
+  CASE WHEN l_linenumber IN (2, 3, 6) THEN true WHEN l_linenumber IN (4, 5) OR l_linenumber = 7 AND l_returnflag <> 'A' THEN false END AS slab_lower_in, CASE WHEN l_linenumber < 5 OR l_linenumber = 7 AND l_returnflag <> 'N' THEN true END AS slab_upper_in,
+  CASE WHEN l_linenumber IN (1, 6) OR l_linenumber = 7 AND l_returnflag <> 'R' THEN 'explicit' ELSE 'inferred' END AS slab_known,
+  CASE WHEN l_linenumber = 2 THEN 'telescopic_first' WHEN l_linenumber IN (5, 6) OR l_linenumber = 7 AND l_returnflag = 'N' THEN 'open' WHEN l_linenumber = 7 AND l_returnflag = 'R' THEN 'telescopic_next' ELSE 'absolute' END AS slab_kind,
+  CASE l_linenumber WHEN 1 THEN 'kWh' WHEN 2 THEN 'unit' WHEN 3 THEN 'kVAh' WHEN 6 THEN 'HP' WHEN 7 THEN CASE WHEN l_returnflag = 'R' THEN 'unit' END END AS slab_unit, NULL::VARCHAR AS slab_reference FROM lineitem""")
+def slab_forms(spark, sf_dir) -> DataFrame:
+    """Each line's bounds printed as a slab label, and read back with inclusivity and how it is known."""
+    printed = F.expr(f"""case l_linenumber when 1 then concat('Up to and including ', {_B}, ' kWh') when 2 then concat('First ', {_B}, ' units') when 3 then concat({_A}, '-', {_B}, ' kVAh') when 4 then concat('Above ', {_A}, ' - ', {_B}) when 5 then concat('Above ', {_B})
+      when 6 then concat({_B}, ' HP and above') else case l_returnflag when 'A' then concat('<= ', {_A}) when 'N' then concat('> ', {_A}) else concat('Next ', {_A}, ' units') end end""")
+    out = table(spark, sf_dir, "lineitem").withColumn("slab", cells.slab_bounds(printed))
+    return out.select("l_orderkey", "l_linenumber", *[F.col(f"slab.{f}").alias(f"slab_{f}") for f in _SLAB_FIELDS])
 
 
-@query("slab_sequences", f"SELECT s_suppkey, k, known, conflict FROM supplier JOIN (VALUES {', '.join(f'({i}, {k}, {_sql(known)}, {_sql(why)})' for i, rows in enumerate(_SEEN.values()) for k, (known, why) in enumerate(rows))}) v(i, k, known, conflict) ON i = s_suppkey % 3")
+@query("slab_sequences", """WITH s AS (SELECT l_orderkey, l_linenumber, CASE WHEN row_number() OVER w = 1 OR l_returnflag = 'N' THEN NULL WHEN l_returnflag = 'A' THEN 'claimed twice' ELSE 'gap' END AS conflict FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)),
+k AS (SELECT *, lead(conflict) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS after FROM s)
+SELECT l_orderkey, l_linenumber, CASE WHEN conflict IS NOT NULL OR after IS NOT NULL THEN 'ambiguous' ELSE 'inferred' END AS known, conflict FROM k WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) = count(DISTINCT l_linenumber))""")
 def slab_sequences(spark, sf_dir) -> DataFrame:
-    """Neighbouring slabs of a schedule that claim a bound twice or leave a gap."""
-    lists = F.array(*[F.array(*map(F.lit, rows)) for rows in _SCHEDULES.values()])
-    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.posexplode(F.get(lists, (F.col("s_suppkey") % 3).cast("int"))).alias("k", "label")).withColumn("slab", cells.slab_bounds(F.col("label")))
-    return cells.adjacent(rows, ["s_suppkey"], "k").select("s_suppkey", "k", "known", "conflict")
-
-
-#: label: head
-HEAD_FORMS = {
-    "Non-tariff income": "nti", "Amortisation of regulatory asset": "regulatory_asset", "Revenue gap / (surplus)": "gap", "Revenue from sale of power": "revenue", "Interest on working capital": "interest_wc",
-    "Interest on consumer security deposit": "interest_sd", "Interest on long-term loan": "interest_loan", "Bank & finance charges": "finance_charges", "Income tax": "tax", "Return on Equity": "roe",
-    "Provision for doubtful debts": "bad_debts", "Depreciation": "depreciation", "Employee cost": "employee", "A & G expenses": "ag", "Repairs": "rm", "Operation and Maintenance": "om", "Power Purchase Cost": "power_purchase",
-    "SLDC charges": "transmission", "Carrying cost": "carrying_cost", "Net ARR": "net_arr", "Aggregate Revenue Requirement": "arr", "Miscellaneous": "other", "Interest capitalised": "other",
-}
-
-
-@query("cost_heads", f"SELECT p_partkey, head FROM part JOIN (VALUES {_values((h,) for h in HEAD_FORMS.values())}) v(i, head) ON i = p_partkey % {len(HEAD_FORMS)}")
+    """The lines of an order as slabs of one schedule, each from the one before: neighbours that claim a bound twice or leave a gap. Orders with two lines of one number have no sequence."""
+    lines = table(spark, sf_dir, "lineitem")
+    once = lines.groupBy("l_orderkey").agg((F.count("*") == F.count_distinct("l_linenumber")).alias("once")).where("once").select("l_orderkey")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    upper = F.sum(10 + F.col("l_quantity").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    made = lines.join(once, "l_orderkey").withColumn("upper", upper).withColumn("before", F.lag("upper").over(w))
+    label = F.expr("if(before is null, concat('up to ', upper), concat(before + case l_returnflag when 'A' then 0 when 'N' then 1 else 5 end, '-', upper))")
+    return cells.adjacent(made.withColumn("slab", cells.slab_bounds(label)), ["l_orderkey"], "l_linenumber").select("l_orderkey", "l_linenumber", "known", "conflict")
+
+
+@query("cost_heads", """SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN CASE o_orderstatus WHEN 'F' THEN 'interest_wc' WHEN 'O' THEN 'interest_sd' ELSE 'interest_loan' END WHEN '2-HIGH' THEN CASE o_orderstatus WHEN 'P' THEN 'regulatory_asset' ELSE 'power_purchase' END
+  WHEN '3-MEDIUM' THEN CASE o_orderstatus WHEN 'O' THEN 'other' ELSE 'roe' END WHEN '4-NOT SPECIFIED' THEN CASE o_orderstatus WHEN 'F' THEN 'employee' WHEN 'O' THEN 'tax' ELSE 'bad_debts' END ELSE CASE o_orderstatus WHEN 'F' THEN 'net_arr' WHEN 'O' THEN 'gap' ELSE 'nti' END END AS head FROM orders""")
 def cost_heads(spark, sf_dir) -> DataFrame:
-    return _carried(spark, sf_dir, list(HEAD_FORMS), "label").select("p_partkey", labels.cost_head(F.col("label")).alias("head"))
+    """The cost head of each order's label."""
+    label = F.expr("""concat(case o_orderpriority when '1-URGENT' then 'Interest on ' when '2-HIGH' then 'Power purchase ' when '3-MEDIUM' then 'Return on ' when '4-NOT SPECIFIED' then 'Employee ' else 'Net ' end,
+      case o_orderpriority when '1-URGENT' then case o_orderstatus when 'F' then 'working capital' when 'O' then 'consumer security deposit' else 'long-term loan' end when '2-HIGH' then case o_orderstatus when 'F' then 'cost' when 'O' then 'and wheeling' else 'true-up impact' end
+      when '3-MEDIUM' then case o_orderstatus when 'F' then 'equity' when 'O' then 'filing' else 'capital employed' end when '4-NOT SPECIFIED' then case o_orderstatus when 'F' then 'cost' when 'O' then 'income tax' else 'bad debts' end
+      else case o_orderstatus when 'F' then 'ARR' when 'O' then 'surplus' else 'other income' end end, ', ', o_orderkey)""")
+    return table(spark, sf_dir, "orders").select("o_orderkey", labels.cost_head(label).alias("head"))
 
 
 ALIASES = [("Power purchase cost", "C.PP", "INR_crore"), ("Power purchase", "C.PP", "INR_crore"), ("Hydro", "C.PP.HYDRO", "INR_crore"), ("Hydro", "E.PP.HYDRO", "MU"), ("O&M expenses", "C.OM", "INR_crore"), ("Employee expenses", "C.OM.EMP", "INR_crore"), ("Return on equity", "C.ROE", "INR_crore"), ("Equity", "C.EQ", "INR_crore"), ("ARR", "C.ARR", "INR_crore"), ("Sales", "E.SALES", "MU"), ("Total sales to consumers", "E.SALES", "MU")]

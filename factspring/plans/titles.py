@@ -1,4 +1,4 @@
-"""Titles, headers and headings: each part or supplier carries one of a list of forms; the SQL holds what each must give."""
+"""Titles, headers and headings printed from the tables' own columns, and read back; the SQL goes by the columns."""
 
 from __future__ import annotations
 
@@ -8,124 +8,62 @@ from pyspark.sql import functions as F
 from ..functions import titles
 from ..registry import query
 from ..sources.catalog import table
-from .forms import _carried, _values
 
-SECTION_FORMS = {
-    "ToD structure for HT": "tod", "Time of Day tariff": "tod", "APPC of renewable sources": "re_portfolio", "RPO compliance": "re_portfolio", "Solar purchase": "re_portfolio", "Cross-subsidy surcharge": "wheeling",
-    "Open access charges": "wheeling", "Voltage-wise loss": "wheeling", "Power purchase cost": "power_purchase", "Source-wise energy": "power_purchase", "Merit order dispatch": "power_purchase", "Retail supply tariff": "tariff_schedule",
-    "Tariff for LT domestic": "tariff_schedule", "Energy charges of allocated stations": "power_purchase", "Fixed charges (Rs. Cr)": "power_purchase", "Energy charges for EV charging stations": "tariff_schedule", "Demand charge in Rs crore": "power_purchase",
-    "Average billing rate": "tariff_schedule", "Employee expenses": None, "": None,
-}
+_FY = "concat('FY ', year(o_orderdate) + 20, '-', lpad(cast((year(o_orderdate) + 21) % 100 as string), 2, '0'))"
 
 
-@query("section_classes", f"SELECT p_partkey, section FROM part JOIN (VALUES {_values((s,) for s in SECTION_FORMS.values())}) v(i, section) ON i = p_partkey % {len(SECTION_FORMS)}")
+@query("section_classes", """SELECT o_orderkey, CASE o_orderpriority WHEN '2-HIGH' THEN 're_portfolio' WHEN '3-MEDIUM' THEN 'wheeling' WHEN '4-NOT SPECIFIED' THEN NULL ELSE CASE WHEN o_orderstatus = 'O' THEN 'tariff_schedule' ELSE 'power_purchase' END END AS section FROM orders""")
 def section_classes(spark, sf_dir) -> DataFrame:
-    """The section of every form of a table's title."""
-    return _carried(spark, sf_dir, list(SECTION_FORMS), "title").select("p_partkey", titles.section_class(F.col("title")).alias("section"))
-
-
-_GUESS = "guessed from the subject"
-#: title: kind, note
-KIND_FORMS = {
-    "Tariff Order for FY 2026-27 in Petition No. 2039/2023": ("tariff_order", None),
-    "Order on True-up of FY 2022-23": ("arr_true_up_order", None),
-    "MYT Order for the control period FY 2025-26 to FY 2029-30": ("myt_order", None),
-    "Order on ARR and Tariff for FY 2026-27 of the 4th control period": ("tariff_order", None),
-    "Order along with Corrigendum on ARR": ("tariff_order", "the order with its corrigendum"),
-    "Corrigendum to the Tariff Order": (None, "a correction: it goes with the order it corrects"),
-    "Press note on the tariff order": (None, "not the order itself"),
-    "Salient features of the Order": (None, "not the order itself"),
-    "Interim order on ARR": (None, "a procedural order"),
-    "Record of proceedings": (None, "a procedural order"),
-    "Review petition against tariff order": (None, "a review: it goes with the order it reviews"),
-    "Petition for review of order": (None, "a review: it goes with the order it reviews"),
-    "Terms of Tariff Regulations, 2024": ("regulation", None),
-    "Tariff Regulations (First Amendment)": ("regulation_amendment", None),
-    "Mid-term review of the business plan": ("mid_term_review", None),
-    "Order on safety": (None, "an order of another kind"),
-    "MYT petition of the licensee": ("myt_petition", None),
-    "Petition for annual performance review": ("arr_petition", None),
-    "ARR FY 2026-27": ("tariff_order", _GUESS),
-    "Truing up FY 2021-22": ("arr_true_up_order", _GUESS),
-    "Business plan and ARR": ("myt_order", _GUESS),
-    "Approval of retail supply tariff": ("tariff_order", None),
-    "Annual report": (None, None),
-}
-
-
-@query("document_kinds", f"SELECT p_partkey, kind, note FROM part JOIN (VALUES {_values(KIND_FORMS.values())}) v(i, kind, note) ON i = p_partkey % {len(KIND_FORMS)}")
+    """The section of each order's table by its title (F49): charges of stations or in crore are bought power."""
+    title = F.expr(f"""concat(case o_orderpriority when '1-URGENT' then 'Energy charges of ' when '2-HIGH' then 'Solar purchase from ' when '3-MEDIUM' then 'Wheeling charges of ' when '4-NOT SPECIFIED' then 'Depreciation of ' else 'Tariff for LT consumers of ' end,
+      case o_orderstatus when 'F' then 'allocated stations' when 'O' then 'domestic users' else 'the licensee (Rs. Cr)' end, ', ', {_FY})""")
+    return table(spark, sf_dir, "orders").select("o_orderkey", titles.section_class(title).alias("section"))
+
+
+@query("document_kinds", """SELECT o_orderkey,
+  CASE WHEN o_orderpriority = '4-NOT SPECIFIED' OR o_orderstatus = 'P' THEN NULL ELSE CASE o_orderpriority WHEN '2-HIGH' THEN 'arr_true_up_order' WHEN '3-MEDIUM' THEN 'myt_petition' ELSE 'tariff_order' END END AS kind,
+  CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'goes with an order' WHEN o_orderstatus = 'P' THEN 'corrects an order' WHEN o_orderpriority = '5-LOW' THEN 'by its subject alone' END AS note FROM orders""")
 def document_kinds(spark, sf_dir) -> DataFrame:
-    """The kind that every form of a listed title names, with its note."""
-    return _carried(spark, sf_dir, list(KIND_FORMS), "title").select("p_partkey", titles.document_kind(F.col("title")).alias("k")).select("p_partkey", "k.*")
-
-
-#: header: currency, per_unit, frequency, percent
-HINT_FORMS = {
-    "Rate (Rs./kWh)": ("rupees", "kWh", None, False),
-    "Energy charge in paise per unit": ("paise", "unit", None, False),
-    "Fixed charge, Rs per kW per month": ("rupees", "kW", "per_month", False),
-    "₹ / kVA / month": ("rupees", "kVA", "per_month", False),
-    "Ps. per kVAh": ("paise", "kVAh", None, False),
-    "INR per connection per annum": ("rupees", "connection", "per_annum", False),
-    "Surcharge, percentage of bill": (None, None, None, True),
-    "% of energy charge": (None, None, None, True),
-    "Charge in HP": (None, "HP", None, False),
-    "Minimum per bill": (None, "bill", "per_bill", False),
-    "Category": (None, None, None, False),
-}
-
-
-@query("unit_hints", f"SELECT p_partkey, currency, per_unit, frequency, percent FROM part JOIN (VALUES {_values(HINT_FORMS.values())}) v(i, currency, per_unit, frequency, percent) ON i = p_partkey % {len(HINT_FORMS)}")
-def unit_hints(spark, sf_dir) -> DataFrame:
-    """What every form of a header says of units."""
-    return _carried(spark, sf_dir, list(HINT_FORMS), "header").select("p_partkey", titles.unit_hint(F.col("header")).alias("h")).select("p_partkey", "h.*")
-
-
-#: (header, row): component, percent_of
-COMPONENT_FORMS = {
-    ("Rate %", "Energy in peak hours"): ("tod_adjustment", "energy charge"),
-    ("Charge", "Green energy"): ("green_premium", None),
-    ("Minimum charge", "demand"): ("minimum", None),
-    ("Demand Charge", "fixed"): ("demand", None),
-    ("Fixed Charge", "LMV-1"): ("fixed", None),
-    ("Energy Charge", "LMV-1"): ("energy", None),
-    ("Discount", "prompt payment"): ("rebate", None),
-    ("Surcharge %", "late payment"): ("surcharge", None),
-    ("Govt. subsidised rate", "rural"): ("subsidy", None),
-    ("ToD", "peak"): ("tod_adjustment", "energy charge"),
-    ("Rate", "LMV-1"): ("charge", None),
-}
-
-
-@query("header_components", f"SELECT p_partkey, component, percent_of FROM part JOIN (VALUES {_values(COMPONENT_FORMS.values())}) v(i, component, percent_of) ON i = p_partkey % {len(COMPONENT_FORMS)}")
-def header_components(spark, sf_dir) -> DataFrame:
-    """The component of every pair of header and row."""
-    rows = _carried(spark, sf_dir, ["\t".join(k) for k in COMPONENT_FORMS], "both").withColumn("both", F.split("both", "\t"))
-    return rows.select("p_partkey", titles.component(F.col("both")[0], F.col("both")[1]).alias("c")).select("p_partkey", "c.*")
+    """The kind that each order's listed title names, with its note."""
+    title = F.expr(f"""concat(case o_orderpriority when '1-URGENT' then 'Tariff Order for ' when '2-HIGH' then 'Order on True-up of ' when '3-MEDIUM' then 'MYT petition up to ' when '4-NOT SPECIFIED' then 'Press note on the tariff of ' else 'ARR of ' end, {_FY},
+      case o_orderstatus when 'O' then ', with annexures' when 'F' then '' else ' (Corrigendum)' end)""")
+    return table(spark, sf_dir, "orders").select("o_orderkey", titles.document_kind(title).alias("k")).select("o_orderkey", "k.*")
 
 
-YEAR_FORMS = {
-    "ARR for FY 2024-25 and FY 2025-26": "FY2024-25 FY2025-26", "FY 24-25 (Actual)": "FY2024-25", "2023-2024": "FY2023-24", "FY25": "FY2024-25", "FY 2024-26": "", "FY 2024-25, 2024-25 and FY'25": "FY2024-25", "FY 1999-00": "",
-    "2019–20 to 2021/22": "FY2019-20 FY2021-22", "Order of 2024": "", "": "",
-}
+@query("unit_hints", """SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 'rupees' WHEN 'N' THEN 'paise' END AS currency, CASE l_linenumber % 3 WHEN 0 THEN 'kWh' WHEN 1 THEN 'kVA' END AS per_unit,
+  CASE WHEN l_linestatus = 'F' THEN 'per_month' END AS frequency, l_tax > 0.05 AS percent FROM lineitem""")
+def unit_hints(spark, sf_dir) -> DataFrame:
+    """What the header of each line's column says of units."""
+    header = F.expr("""concat(case l_returnflag when 'A' then 'Rs.' when 'N' then 'Paise' else 'Charge' end, case l_linenumber % 3 when 0 then ' per kWh' when 1 then '/kVA' else '' end,
+      case when l_linestatus = 'F' then ' per month' else '' end, ' of line ', l_partkey, case when l_tax > 0.05 then ' (%)' else '' end)""")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", titles.unit_hint(header).alias("h")).select("l_orderkey", "l_linenumber", "h.*")
 
 
-@query("years_named", f"SELECT p_partkey, years FROM part JOIN (VALUES {_values((y,) for y in YEAR_FORMS.values())}) v(i, years) ON i = p_partkey % {len(YEAR_FORMS)}")
-def years_named(spark, sf_dir) -> DataFrame:
-    """The fiscal years that every form of a header names."""
-    return _carried(spark, sf_dir, list(YEAR_FORMS), "header").select("p_partkey", F.concat_ws(" ", titles.years_named(F.col("header"))).alias("years"))
+@query("header_components", """WITH c AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'N' AND l_linenumber IN (4, 6) THEN 'tod_adjustment' WHEN l_linenumber = 5 THEN 'minimum' WHEN l_linenumber = 2 THEN 'demand' WHEN l_linenumber = 1 THEN 'fixed'
+  WHEN l_linenumber = 3 OR l_returnflag = 'N' THEN 'energy' WHEN l_returnflag = 'R' THEN 'rebate' WHEN l_linenumber = 6 THEN 'surcharge' ELSE 'charge' END AS component FROM lineitem)
+SELECT *, CASE WHEN component = 'tod_adjustment' THEN 'energy charge' END AS percent_of FROM c""")
+def header_components(spark, sf_dir) -> DataFrame:
+    """The component of each line by the words of its header and row."""
+    header = F.expr("case l_linenumber when 1 then 'Fixed Charge' when 2 then 'Demand Charge' when 3 then 'Energy Charge' when 4 then 'Rate %' when 5 then 'Minimum charge' when 6 then 'Surcharge %' else 'Rate' end")
+    row = F.expr("case l_returnflag when 'A' then concat('LMV-', l_suppkey) when 'N' then concat('Energy in block ', l_partkey) else concat('Rebate of ', l_discount) end")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", titles.component(header, row).alias("c")).select("l_orderkey", "l_linenumber", "c.*")
 
 
-HEADING_FORMS = {
-    "3. Power Purchase Expenses": True, "Chapter IV: Aggregate Revenue Requirement": True, "POWER PURCHASE COST": True, "Power purchase cost": False, "4.2 The Commission has considered the": False, "4.2 considered": False, "5. Sales were found to be in line with what was filed": False,
-    "Table 4.2: POWER PURCHASE": False, "POWER PURCHASE ........ 45": False, "4 Hydro 120.5 130.2": False, "ARR  FOR   FY 2024-25   TOTAL": False, "2. True-up for FY 2024-25": True, "A. BACKGROUND;": False, "": False, "6. Accordingly, Sales": False,
-}
+@query("years_named", """WITH y AS (SELECT o_orderkey, o_orderstatus AS s, year(o_orderdate) + 20 AS y FROM orders)
+SELECT o_orderkey, concat('FY', y, '-', lpad(((y + 1) % 100)::VARCHAR, 2, '0'), CASE s WHEN 'F' THEN concat(' FY', y - 1, '-', lpad((y % 100)::VARCHAR, 2, '0')) WHEN 'O' THEN concat(' FY', y + 1, '-', lpad(((y + 2) % 100)::VARCHAR, 2, '0')) ELSE '' END) AS years FROM y""")
+def years_named(spark, sf_dir) -> DataFrame:
+    """The fiscal years that each order's header names: in full, by their end, as a range; two that are no neighbours are none."""
+    y = "(year(o_orderdate) + 20)"
+    header = F.expr(f"concat('ARR for ', {_FY}, case o_orderstatus when 'F' then concat(' and FY', lpad(cast({y} % 100 as string), 2, '0')) when 'O' then concat(' to ', {y} + 1, '/', {y} + 2) else concat(', as in ', {y}, '-', lpad(cast(({y} + 2) % 100 as string), 2, '0')) end)")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws(" ", titles.years_named(header)).alias("years"))
 
 
-@query("chapter_headings", f"SELECT p_partkey, opens FROM part JOIN (VALUES {_values((h,) for h in HEADING_FORMS.values())}) v(i, opens) ON i = p_partkey % {len(HEADING_FORMS)}")
+@query("chapter_headings")
 def chapter_headings(spark, sf_dir) -> DataFrame:
-    """Whether every form of a line opens a chapter (F64)."""
-    return _carried(spark, sf_dir, list(HEADING_FORMS), "line").select("p_partkey", titles.opens_chapter(F.col("line")).alias("opens"))
+    """Whether each line of each document opens a chapter, every other line with a number before it (F64)."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    numbered = lines.withColumn("line", F.when(F.col("line_no") % 2 == 0, F.concat(F.floor(F.col("line_no") / 2) + 1, F.lit(". "), "line")).otherwise(F.col("line")))
+    return titles.chapters(numbered, "line").select("doc_id", "line_no", "opens")
 
 
 @query("amended_texts", "SELECT item_id, trim(regexp_replace(lower(text), '[^a-z0-9%.:]+', ' ', 'g')) AS plain FROM benchmark")

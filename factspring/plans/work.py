@@ -17,10 +17,10 @@ _STATE = (
 
 
 @query("work_planned", f"""WITH s AS (SELECT {", ".join(_STATE)} FROM customer), r AS (SELECT * FROM s WHERE fetched AND textlayer),
-w AS (SELECT c_custkey, 'fetch' AS kind, 'no page text yet' AS reason FROM s WHERE NOT fetched UNION ALL SELECT c_custkey, 'parse:textlayer', 'not read yet' FROM s WHERE fetched AND NOT textlayer
-UNION ALL SELECT c_custkey, 'parse:layout', CASE WHEN tables = 0 THEN 'no table in the text layer' ELSE 'pages without a text layer' END FROM r WHERE NOT layout AND (tables = 0 OR blank_pages > 0)
-UNION ALL SELECT c_custkey, 'parse:cloud', 'two readers disagree' FROM r WHERE verified AND layout AND NOT cloud AND shared > 0 AND disagree > 0.2 * shared UNION ALL SELECT c_custkey, 'extract', 'tables read, parameters not extracted' FROM r WHERE NOT llm AND tables > 0
-UNION ALL SELECT c_custkey, 'verify', CASE WHEN verified THEN 'a reader ran after the last verification' ELSE 'not verified yet' END FROM r WHERE NOT verified OR stale UNION ALL SELECT c_custkey, 'index', 'paragraphs not indexed' FROM r WHERE NOT indexed)
+w AS (SELECT c_custkey, 'fetch' AS kind, 'its pages were never fetched' AS reason FROM s WHERE NOT fetched UNION ALL SELECT c_custkey, 'parse:textlayer', 'its text layer was never read' FROM s WHERE fetched AND NOT textlayer
+UNION ALL SELECT c_custkey, 'parse:layout', CASE WHEN tables = 0 THEN 'no table found by its text layer' ELSE 'blank pages in its text layer' END FROM r WHERE NOT layout AND (tables = 0 OR blank_pages > 0)
+UNION ALL SELECT c_custkey, 'parse:cloud', 'readers differ on a fifth of shared figures' FROM r WHERE verified AND layout AND NOT cloud AND shared > 0 AND disagree > 0.2 * shared UNION ALL SELECT c_custkey, 'extract', 'its tables wait for extraction' FROM r WHERE NOT llm AND tables > 0
+UNION ALL SELECT c_custkey, 'verify', CASE WHEN verified THEN 'read again since it was verified' ELSE 'never verified' END FROM r WHERE NOT verified OR stale UNION ALL SELECT c_custkey, 'index', 'never indexed' FROM r WHERE NOT indexed)
 SELECT *, CASE WHEN kind = 'parse:cloud' AND row_number() OVER (PARTITION BY kind ORDER BY c_custkey) > 16 THEN 'budget' WHEN kind = 'extract' THEN 'no key' END AS blocked FROM w""")
 def work_planned(spark, sf_dir) -> DataFrame:
     """What each document needs next, and what a key or the budget holds up."""
