@@ -93,6 +93,8 @@ class RuleSet:
             elif kind in ("rule", "sum"):
                 typed = made[other]
                 typed = Typed(typed.value, F.when(typed.reason.isNotNull(), F.lit(f"needs {other}, which is blocked")), typed.dims)
+            elif isinstance(sources.get(i.source), Typed):
+                typed = sources[i.source]
             elif i.source in sources:
                 column, unit = sources[i.source]
                 value = column.cast("double") * scale(unit)
@@ -121,12 +123,13 @@ class RuleSet:
             made[out] = Typed(feeding * scale(rule.unit), F.col(why), typed.dims)
         return df
 
-    def evaluate(self, df: DataFrame, sources: dict[str, tuple[Column, str]], keys: list[str] | None = None, categories: DataFrame | None = None, category_sources: dict[str, tuple[Column, str]] | None = None) -> DataFrame:
+    def evaluate(self, df: DataFrame, sources: dict[str, tuple[Column, str]], keys: list[str] | None = None, categories: DataFrame | None = None, category_sources: dict[str, tuple[Column, str]] | None = None, raw: bool = False) -> DataFrame:
         """``df`` with, for each rule, its rounded ``output`` and ``output_blocked`` (the reason, or null).
 
         ``sources`` maps source strings to columns of ``df`` and their units. Rules ``per`` a category are computed
         over ``categories``, a table with the ``keys`` of ``df`` and a row for each category; ``sum:`` adds their
-        unrounded values and is blocked if a category is, or if there is none.
+        unrounded values and is blocked if a category is, or if there is none. A source may also be ``Typed``, with a
+        reason of its own. With ``raw`` each output also comes unrounded, as ``output_raw``.
         """
         per = [r for r in self.rules if r.per]
         made: dict[str, Typed] = {}
@@ -137,5 +140,8 @@ class RuleSet:
             for r in per:
                 reason = F.when((F.coalesce(F.col(f"_{r.output}_stopped"), F.lit(1)) > 0), F.lit("a category is blocked or none is given"))
                 made[r.output] = Typed(F.when(reason.isNull(), F.col(f"_{r.output}_sum") * scale(r.unit)), reason, dimensions(r.unit))
-        out = self._columns(df, [r for r in self.rules if not r.per], sources, made)
+        single = [r for r in self.rules if not r.per]
+        out = self._columns(df, single, sources, made)
+        if raw:
+            out = out.withColumns({f"{r.output}_raw": F.col(f"_{r.output}") for r in single})
         return out.drop(*[c for c in out.columns if c.startswith("_")])
