@@ -1,8 +1,9 @@
 """Merkle fingerprints of texts: units of a paragraph, sections of units, a root.
 
 A section is a line. Its units end after ``.``, ``!`` or ``?``, or after 64 code points, and joined give the line.
-Unit nodes hash text, section nodes hash their units' hashes, the root hashes the sections' hashes: equal roots
-mean equal texts, and the branches that differ locate an edit.
+Unit nodes hash text, section nodes hash their units' hashes, the root hashes the sections' hashes. A fingerprint is
+the root and, behind a slash each, the sections, a section being the first eight digits of its units' hashes: equal
+roots mean equal texts, the branches that differ locate an edit, and how alike two texts are is read from their fingerprints alone.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from .staging import width
 
 UNIT = r"(.{0,63}?[.!?]|.{1,64})"
+SHORT = 8  # digits of a unit's hash in a fingerprint; two texts of ten thousand units share one by chance once in forty times
 
 
 def tree(text: Column) -> Column:
@@ -26,22 +28,37 @@ def root(sections: Column) -> Column:
     return F.sha2(F.concat_ws("", nodes), 256)
 
 
+def printed(sections: Column) -> Column:
+    """The fingerprint of a tree."""
+    return F.concat_ws("/", root(sections), F.concat_ws("/", F.transform(sections, lambda s: F.concat_ws("", F.transform(s, lambda u: F.substring(u, 1, SHORT))))))
+
+
+def sections_of(fingerprint: Column) -> Column:
+    """The sections of a fingerprint, in order."""
+    return F.slice(F.split(fingerprint, "/"), F.lit(2), F.size(F.split(fingerprint, "/")) - 1)
+
+
+def units_of(fingerprint: Column) -> Column:
+    """The distinct units of a fingerprint."""
+    return F.array_distinct(F.regexp_extract_all(F.substring(fingerprint, F.lit(65), F.length(fingerprint)), F.lit(f"[0-9a-f]{{{SHORT}}}"), F.lit(0)))
+
+
 def likeness(a: Column, b: Column) -> Column:
-    """Dice coefficient of the distinct unit hashes of two trees: 1 for equal texts, 0 for no common unit; two trees without units are alike."""
-    x, y = F.array_distinct(F.flatten(a)), F.array_distinct(F.flatten(b))
-    total = F.size(x) + F.size(y)
-    return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(x, y)) / total)
+    """Dice coefficient of the distinct units of two fingerprints: 1 for equal texts, 0 for no common unit; two without units are alike."""
+    total = F.size(a) + F.size(b)
+    return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / total)
 
 
 def differing_sections(a: Column, b: Column) -> Column:
-    """Indexes of the sections whose nodes differ, those that only one tree has included."""
-    at = F.sequence(F.lit(0), F.greatest(F.size(a), F.size(b)) - 1)
-    return F.filter(at, lambda i: ~F.get(a, i).eqNullSafe(F.get(b, i)))
+    """Indexes of the sections that differ between two fingerprints, those that only one has included."""
+    x, y = sections_of(a), sections_of(b)
+    at = F.sequence(F.lit(0), F.greatest(F.size(x), F.size(y)) - 1)
+    return F.filter(at, lambda i: ~F.get(x, i).eqNullSafe(F.get(y, i)))
 
 
 def fingerprint(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add ``fingerprint`` (the root) and ``tree`` to any table with a text column."""
-    return docs.withColumn("tree", tree(F.col(text_col))).withColumn("fingerprint", root(F.col("tree")))
+    """Add ``fingerprint`` to any table with a text column."""
+    return docs.withColumn("fingerprint", printed(tree(F.col(text_col))))
 
 
 def _longs(numbers: list[int]) -> Column:
@@ -93,13 +110,11 @@ def edited(text: Column, next_text: Column) -> Column:
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """Fingerprints of every document and of its edited text, with their likeness; see ``with_next`` and ``edited``.
 
-    ``fingerprint`` is a tree's root, which tests equality only. Likeness is that of the whole trees' units, which are
-    made on the way and not returned: ``fingerprint`` (the function) keeps them. A null text counts as empty; repeated
+    Likeness is that of the fingerprints that are returned (of the next document, the one it gets itself), and of nothing else. A null text counts as empty; repeated
     rows each have a next document, in the order of id and text; an empty table gives no rows.
     """
     pairs = with_next(docs).withColumn("edited", edited(F.col("text"), F.col("next_text")))
     trees = pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), tree(F.col("text")).alias("_t"), tree(F.col("edited")).alias("_e"), tree(F.col("next_text")).alias("_x"))
-    return trees.select(
-        "doc_id", "n_chars", "edited_sha256", root(F.col("_t")).alias("fingerprint"), root(F.col("_e")).alias("edited_fingerprint"),
-        likeness(F.col("_t"), F.col("_e")).alias("near_edited"), likeness(F.col("_t"), F.col("_x")).alias("near_next"), F.size("_t").cast("long").alias("n_sections"),
-    )
+    made = trees.select("doc_id", "n_chars", "edited_sha256", printed(F.col("_t")).alias("fingerprint"), printed(F.col("_e")).alias("edited_fingerprint"), printed(F.col("_x")).alias("_next"), F.size("_t").cast("long").alias("n_sections"))
+    units = made.withColumns({"_a": units_of(F.col("fingerprint")), "_b": units_of(F.col("edited_fingerprint")), "_c": units_of(F.col("_next"))})
+    return units.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("_a"), F.col("_b")).alias("near_edited"), likeness(F.col("_a"), F.col("_c")).alias("near_next"), "n_sections")

@@ -144,10 +144,10 @@ t AS (SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256,
   list_transform(string_split(text, chr(10)), lambda l: list_transform(regexp_extract_all(l, '(?s)(.{0,63}?[.!?]|.{1,64})'), lambda u: left(sha256(u), 32))) AS a,
   list_transform(string_split(edited, chr(10)), lambda l: list_transform(regexp_extract_all(l, '(?s)(.{0,63}?[.!?]|.{1,64})'), lambda u: left(sha256(u), 32))) AS b,
   list_transform(string_split(next_text, chr(10)), lambda l: list_transform(regexp_extract_all(l, '(?s)(.{0,63}?[.!?]|.{1,64})'), lambda u: left(sha256(u), 32))) AS c FROM e),
-s AS (SELECT *, list_distinct(flatten(a)) AS x, list_distinct(flatten(b)) AS y, list_distinct(flatten(c)) AS z FROM t)
+s AS (SELECT *, list_distinct(list_transform(flatten(a), lambda u: left(u, 8))) AS x, list_distinct(list_transform(flatten(b), lambda u: left(u, 8))) AS y, list_distinct(list_transform(flatten(c), lambda u: left(u, 8))) AS z FROM t)
 SELECT doc_id, n_chars, edited_sha256,
-  sha256(array_to_string(list_transform(a, lambda s: sha256(array_to_string(s, ''))), '')) AS fingerprint,
-  sha256(array_to_string(list_transform(b, lambda s: sha256(array_to_string(s, ''))), '')) AS edited_fingerprint,
+  sha256(array_to_string(list_transform(a, lambda s: sha256(array_to_string(s, ''))), '')) || '/' || array_to_string(list_transform(a, lambda s: array_to_string(list_transform(s, lambda u: left(u, 8)), '')), '/') AS fingerprint,
+  sha256(array_to_string(list_transform(b, lambda s: sha256(array_to_string(s, ''))), '')) || '/' || array_to_string(list_transform(b, lambda s: array_to_string(list_transform(s, lambda u: left(u, 8)), '')), '/') AS edited_fingerprint,
   CASE WHEN len(x) + len(y) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(x, y)) / (len(x) + len(y)) END AS near_edited,
   CASE WHEN len(x) + len(z) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect(x, z)) / (len(x) + len(z)) END AS near_next,
   len(a)::BIGINT AS n_sections

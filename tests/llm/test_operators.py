@@ -603,9 +603,22 @@ def test_fingerprints(spark, nothing):
     assert fingerprints.fingerprint_documents(nothing).count() == 0
 
 
+def test_likeness_is_read_from_the_fingerprints(spark, docs):
+    units = lambda printed: set(re.findall("[0-9a-f]{8}", printed[64:]))
+    out = fingerprints.fingerprint_documents(docs.dropDuplicates(["doc_id"])).collect()
+    following = {r.doc_id: r.fingerprint for r in out}
+    order = sorted(following, reverse=True)
+    after = dict(zip(order, order[1:] + order[:1]))
+    for r in out:
+        for other, said in ((r.edited_fingerprint, r.near_edited), (following[after[r.doc_id]], r.near_next)):
+            a, b = units(r.fingerprint), units(other)
+            assert said == pytest.approx(2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0)
+        assert len(r.fingerprint.split("/")) == 1 + r.n_sections
+
+
 def test_differing_branches_locate_an_edit(spark):
     df = spark.createDataFrame([("a b.\nc d. e f.\ng", "a b.\nc d. e X.\ng\nh"), ("same", "same"), (None, "")], "a string, b string")
-    x, y = fingerprints.tree(F.col("a")), fingerprints.tree(F.col("b"))
+    x, y = (fingerprints.printed(fingerprints.tree(F.col(c))) for c in "ab")
     assert [r[0] for r in df.select(fingerprints.differing_sections(x, y)).collect()] == [[1, 3], [], []]
 
 
