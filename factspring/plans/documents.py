@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import figures, passages
+from ..operators.chapters import FURNITURE_PAGES, bare
 from ..operators.retrieval import LIST, bm25, fuse, nearest, ranked
 from ..registry import query
 from ..sources.catalog import table
@@ -61,14 +62,15 @@ def text_quality(spark, sf_dir) -> DataFrame:
     return d.select("doc_id", F.round(glyphs, 6).alias("glyphs"), F.round(wordlike, 6).alias("wordlike"))
 
 
-@query("furniture", """WITH l AS (SELECT doc_id, len(lines) AS n, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)), e AS (SELECT doc_id, lower(trim(line)) AS line FROM l WHERE (i <= 3 OR i > n - 3) AND trim(line) <> '')
-SELECT line, count(DISTINCT doc_id) AS pages FROM e GROUP BY line HAVING count(DISTINCT doc_id) >= 4""")
+@query("furniture", """WITH l AS (SELECT doc_id, len(lines) AS n, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)),
+e AS (SELECT doc_id, regexp_replace(regexp_replace(lower(trim(line)), '\\s+', ' ', 'g'), '[0-9]+', '#', 'g') AS line FROM l WHERE (i <= 3 OR i > n - 3))
+SELECT line, count(DISTINCT doc_id) AS pages FROM e WHERE line <> '' GROUP BY line HAVING count(DISTINCT doc_id) >= 5""")
 def furniture(spark, sf_dir) -> DataFrame:
-    """Lines that stand in the first or last three of four or more pages. A page's own repeats go inside its row."""
+    """Lines that stand in the first or last three of five or more pages, numbers alike. A page's own repeats go inside its row."""
     lines = F.split("text", "\n", -1)
     d = table(spark, sf_dir, "documents").select("doc_id", lines.alias("lines"))
-    ends = F.array_distinct(F.transform(F.concat(F.slice("lines", 1, 3), F.slice(F.reverse("lines"), 1, 3)), lambda x: F.lower(F.trim(x))))
-    return d.select(F.explode(ends).alias("line")).where("line <> ''").groupBy("line").agg(F.count("*").alias("pages")).where("pages >= 4")
+    ends = F.array_distinct(F.transform(F.concat(F.slice("lines", 1, 3), F.slice(F.reverse("lines"), 1, 3)), bare))
+    return d.select(F.explode(ends).alias("line")).where("line <> ''").groupBy("line").agg(F.count("*").alias("pages")).where(F.col("pages") >= FURNITURE_PAGES)
 
 
 @query("html_links", """SELECT page_id, link FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS link FROM pages)""")
