@@ -85,7 +85,7 @@ def test_nulls_and_empty_tables(spark):
     nothing = spark.createDataFrame([], "c int, i int, outcome string, who string")
     assert work.decided(nothing, ["c"], "i", "outcome", "who", F.lit(True)).count() == 0
     line = spark.createDataFrame([(None,)], "t string")
-    said = line.select(titles.opens_chapter(F.col("t")).alias("a"), titles.section_class(F.col("t")).alias("b"), titles.document_kind(F.col("t")).alias("c"), titles.unit_hint(F.col("t")).alias("d"), titles.years_named(F.col("t")).alias("e")).first()
+    said = titles.chapters(line, "t", "a").select("a", titles.section_class(F.col("t")).alias("b"), titles.document_kind(F.col("t")).alias("c"), titles.unit_hint(F.col("t")).alias("d"), titles.years_named(F.col("t")).alias("e")).first()
     assert not said.a and said.b is None and said.c.kind is None and said.d.currency is None and said.e is None
     pages = spark.createDataFrame([(1, "has 12"), (2, None)], "page int, text string")
     rows = spark.createDataFrame([(1, 1, "12"), (1, 2, None), (2, 3, "12"), (3, 4, "12"), (None, 5, "12"), (None, 6, "x")], "page int, row int, cells string")
