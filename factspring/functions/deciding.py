@@ -29,9 +29,13 @@ def marks(text: Column, patterns: dict[str, str]) -> Column:
 def decided(seen: Column, names: list[str], cases: list[Case], fields: str) -> Column:
     """The outcome of the first case that the marks ``seen`` satisfy, as a struct of strings ``fields``; null if none does."""
     place = {n: 1 << i for i, n in enumerate(names)}
-    rows = []
-    for case in cases:
-        needs, lacks = (sum(place[n] for n in part.split()) for part in (case.needs, case.lacks))
-        value = F.struct(*[F.lit(v).cast("string").alias(f) for f, v in zip(fields.split(), case.outcome)])
-        rows.append(F.when(seen.bitwiseAND(F.lit(needs | lacks)) == needs, value))
-    return F.coalesce(*rows)
+
+    def first(m: Column) -> Column:
+        rows = []
+        for case in cases:
+            needs, lacks = (sum(place[n] for n in part.split()) for part in (case.needs, case.lacks))
+            value = F.struct(*[F.lit(v).cast("string").alias(f) for f, v in zip(fields.split(), case.outcome)])
+            rows.append(F.when(m.bitwiseAND(F.lit(needs | lacks)) == needs, value))
+        return F.coalesce(*rows)
+
+    return F.get(F.transform(F.array(seen), first), F.lit(0))  # the marks are made once for a row, not once for each case
