@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import calculation, chapters, checks, documents, forms, grids, metrics, operations, reading, relational, schedules, selection, sheets, structure, titles, upkeep, work  # noqa: F401  register their queries
+from .plans import calculation, chapters, checks, documents, forms, grids, identities, metrics, operations, reading, relational, schedules, selection, sheets, structure, titles, upkeep, work  # noqa: F401  register their queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
