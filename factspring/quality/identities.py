@@ -115,7 +115,7 @@ def _judged(tree: _Lines, identity: Identity, way: Way, tolerance: Tolerance) ->
     room = F.greatest((under * absolute).cast("decimal(38,10)"), (F.abs(over) * F.lit(tolerance.relative).cast("decimal(8,6)")).cast("decimal(38,10)"))
     agrees = F.abs((printed * under).cast("decimal(38,8)") - over) <= room
     # a quotient is told to four places, a sum as it is
-    expected = F.round((over.cast("double") / under.cast("double")).cast("decimal(38,9)"), 4).cast(FORM) if way.under else over
+    expected = F.round(F.try_divide(over.cast("double"), under.cast("double")).cast("decimal(38,9)"), 4).cast(FORM) if way.under else over
     lines = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(identity.printed)), *[tree.used(t.code) for t in way.over + way.under])))
     is_open = F.coalesce(printed.isNotNull() & over.isNotNull() & (under > 0) & (there >= way.parts) & F.expr(way.where), F.lit(False))
     return F.struct(is_open.alias("open"), F.coalesce(agrees, F.lit(False)).alias("agrees"), expected.alias("expected"), F.lit(way.what).alias("what"), lines.alias("lines"))
