@@ -70,30 +70,34 @@ class Tolerance:
 
 
 class _Lines:
-    """Lines of a group as columns, read through the tree."""
+    """Lines of a group read through the tree; lines with children stand in columns of their own, worked out once."""
 
     def __init__(self, lines: list[Line]):
         self.children: dict[str, list[Line]] = {}
         for line in lines:
             if line.parent is not None and not line.splits:
                 self.children.setdefault(line.parent, []).append(line)
+        self.known = {line.code for line in lines}
 
     def value(self, code: str) -> Column:
         """What is printed, else the signed sum of the children that have a value, null for none."""
-        own = F.col(code)
-        below = self.children.get(code, [])
-        if not below:
-            return own
-        parts = [(line.sign, self.value(line.code)) for line in below]
-        total = reduce(lambda a, b: a + b, [F.coalesce(v, F.lit(0).cast(VALUE)) * s for s, v in parts])
-        return F.coalesce(own, F.when(F.coalesce(*[v for _, v in parts]).isNotNull(), total)).cast(FORM)
+        return F.col(f"_rolled {code}.value") if code in self.children else F.col(code)
 
     def used(self, code: str) -> Column:
         """Codes of the printed lines that ``value`` takes."""
-        none = F.array().cast("array<string>")
-        below = self.children.get(code, [])
-        rest = F.concat(*[self.used(line.code) for line in below]) if below else none
-        return F.when(F.col(code).isNotNull(), F.array(F.lit(code))).otherwise(rest)
+        return F.col(f"_rolled {code}.used") if code in self.children else F.when(F.col(code).isNotNull(), F.array(F.lit(code))).otherwise(F.array().cast("array<string>"))
+
+    def rolled(self, wide: DataFrame) -> DataFrame:
+        """``wide`` with a column for each line that has children, the deepest first."""
+        depth = lambda code: 1 + max((depth(line.code) for line in self.children.get(code, [])), default=-1)
+        for code in sorted(self.children, key=depth):
+            below = self.children[code]
+            own = F.col(code) if code in self.known else F.lit(None).cast(VALUE)
+            total = reduce(lambda a, b: a + b, [F.coalesce(self.value(line.code), F.lit(0).cast(VALUE)) * line.sign for line in below])
+            summed = F.when(F.coalesce(*[self.value(line.code) for line in below]).isNotNull(), total)
+            used = F.when(own.isNotNull(), F.array(F.lit(code))).otherwise(F.concat(*[self.used(line.code) for line in below]))
+            wide = wide.withColumn(f"_rolled {code}", F.struct(F.coalesce(own, summed).cast(FORM).alias("value"), used.alias("used")))
+        return wide
 
 
 def _form(tree: _Lines, terms: tuple[Term, ...], constant: int = 0) -> tuple[Column, Column]:
@@ -138,13 +142,18 @@ def checked(values: DataFrame, group: list[str], lines: list[Line], identities:
     if conventions is not None:
         wide = wide.join(conventions, by or group, "left")
     tree = _Lines(lines)
+    wide = tree.rolled(wide)
+    judged = lambda i, ways: F.filter(F.array(*[_judged(tree, i, w, tolerance) for w in ways]), lambda x: x["open"])
+    # the ways of each identity are judged once, in columns that what is told of them is read from
+    ways = {f"_ways {i.name}": judged(i, i.ways) for i in identities} | {f"_hints {i.name}": judged(i, i.hints) for i in identities if i.hints}
+    wide = wide.select(*group, *[F.col(i.printed).alias(f"_printed {i.name}") for i in identities], *[c.alias(n) for n, c in ways.items()])
     results = []
     for i in identities:
-        ways = F.filter(F.array(*[_judged(tree, i, w, tolerance) for w in i.ways]), lambda x: x["open"])
-        holds = F.exists(ways, lambda x: x["agrees"])
-        told = F.coalesce(F.get(F.filter(ways, lambda x: x["agrees"]), F.lit(0)), F.get(ways, F.lit(0)))
-        hint = F.get(F.filter(F.array(*[_judged(tree, i, w, tolerance) for w in i.hints]), lambda x: x["open"] & x["agrees"]), F.lit(0))["what"] if i.hints else F.lit(None).cast("string")
-        results.append(F.struct(F.lit(i.name).alias("identity"), F.lit(i.severity).alias("severity"), holds.alias("holds"), F.col(i.printed).alias("printed"), told.alias("told"), F.when(~holds, hint).alias("hint")))
+        agreeing = F.filter(F.col(f"_ways {i.name}"), lambda x: x["agrees"])
+        holds = F.size(agreeing) > 0
+        told = F.coalesce(F.get(agreeing, F.lit(0)), F.get(F.col(f"_ways {i.name}"), F.lit(0)))
+        hint = F.get(F.filter(F.col(f"_hints {i.name}"), lambda x: x["agrees"]), F.lit(0))["what"] if i.hints else F.lit(None).cast("string")
+        results.append(F.struct(F.lit(i.name).alias("identity"), F.lit(i.severity).alias("severity"), holds.alias("holds"), F.col(f"_printed {i.name}").alias("printed"), told.alias("told"), F.when(~holds, hint).alias("hint")))
     rows = wide.select(*group, F.explode(F.filter(F.array(*results), lambda r: r["told"].isNotNull())).alias("r"))
     return rows.select(*group, "r.identity", "r.severity", "r.holds", "r.printed", "r.told.expected", (F.col("r.printed") - F.col("r.told.expected")).cast(FORM).alias("difference"), "r.told.what", "r.hint", "r.told.lines")
 
