@@ -45,7 +45,7 @@ def sentences(lines: DataFrame, key: list[str], text: str) -> DataFrame:
     # what is before a sentence: the sentences before it and the blanks that part them, all inside one row, so repeated rows keep apart
     cut = F.split(F.col(text), SENTENCE_END, -1)
     gaps = F.regexp_extract_all(F.col(text), F.lit(f"(?:{SENTENCE_END})"), F.lit(0))
-    taken = F.transform(cut, lambda s, i: F.length(s) + F.coalesce(F.length(F.get(gaps, i)), F.lit(0)))
+    taken = F.zip_with(cut, gaps, lambda s, g: F.length(s) + F.coalesce(F.length(g), F.lit(0)))
     pieces = lines.select(*key, taken.alias("_taken"), F.posexplode(cut).alias("_i", "_s"))
     before = F.aggregate(F.slice("_taken", F.lit(1), F.col("_i")), F.lit(0), lambda a, n: a + n)
     lead = F.length("_s") - F.length(F.ltrim("_s"))
