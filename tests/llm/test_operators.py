@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -413,6 +414,24 @@ def test_products_modulo_the_prime():
     assert made.tolist() == [a * b % bytehash.PRIME for a, b in pairs]
 
 
+def test_split_blocks_memory():
+    """A map task holds its blocks and a few small pieces, not a batch's texts once more, and sends no large batches."""
+    draw = np.random.default_rng(5).integers(97, 123, (10_000, 2000), np.uint8)
+    texts = suffix_dedup.batch("doc_id long, text string", np.arange(len(draw)), [row.tobytes().decode() for row in draw])
+    split = suffix_dedup.split_blocks(64, 50, 20)
+    windows, largest = 0, 0
+    for out in split(iter([texts])):
+        windows, largest = windows + int(suffix_dedup._unpacked([b.as_py() for b in out.column("blob")])["n"].sum()), max(largest, out.nbytes)
+    assert windows == len(draw) * (2000 - 49) and largest < 8 << 20
+    del draw, out
+    tracemalloc.start()
+    for _ in split(iter([texts])):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 90 << 20, peak
+
+
 def test_suffix_order():
     rnd = random.Random(2)
     data = np.frombuffer("".join(rnd.choice("ab") for _ in range(700)).encode() + bytes(8), np.uint8)
