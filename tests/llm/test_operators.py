@@ -432,6 +432,15 @@ def test_split_blocks_memory():
     assert peak < 90 << 20, peak
 
 
+def test_parts_of_blocks_are_alike_in_size():
+    draw = np.random.default_rng(6).integers(97, 123, 1 << 20, np.uint8).tobytes().decode()
+    sizes = collections.Counter()
+    for out in suffix_dedup.split_blocks(64, 50, 20)(iter([suffix_dedup.batch("doc_id long, text string", [1], [draw])])):
+        for part, blob in zip(out.column("part").to_pylist(), out.column("blob")):
+            sizes[part] += len(blob.as_py())
+    assert len(sizes) == 64 and max(sizes.values()) < 1.5 * sum(sizes.values()) / 64
+
+
 def test_suffix_order():
     rnd = random.Random(2)
     data = np.frombuffer("".join(rnd.choice("ab") for _ in range(700)).encode() + bytes(8), np.uint8)
