@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import voice_of
 from ..functions.titles import years_named
-from ..sources.shared import stage
 
 #: What counts as a printed figure, a dash for none, and a serial number before a label.
 FIGURE = r"^\(?-?[0-9][0-9,]*(?:\.[0-9]+)?\)?%?$"
@@ -35,35 +34,39 @@ def text_cells(lines: DataFrame, page: str, line: str, text: str, apart: int = 2
     Words fewer than ``apart`` blanks from each other are one phrase. The right edges of a page's figures, sorted, fall into columns wherever
     neighbours are more than ``tolerance`` apart; a column lies at the median of its edges. A phrase left of the first
     column is a label (column 0), a serial number at the start of a line, before words, stands apart (column -1). In lines without figures above the first that has some, each column takes the phrase whose middle is nearest to its own. Lines with nothing
-    are left out, a page without figures gives no cells.
+    are left out, a page without figures gives no cells. All steps are windows within a page, so lines that lie by page already aren't moved.
     """
     own = lines.select(F.col(page).alias("page"), F.col(line).alias("row"), F.regexp_extract_all(F.col(text), F.lit(rf"\s*\S+(?:\s{{1,{apart - 1}}}\S+)*"), F.lit(0)).alias("found"))
     each = own.select("page", "row", F.posexplode("found").alias("place", "piece"))
     so_far = Window.partitionBy("page", "row").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     phrases = each.withColumn("x1", F.sum(F.length("piece")).over(so_far)).withColumn("text", F.trim("piece"))
-    after = F.lead("text").over(Window.partitionBy("page", "row").orderBy("place"))
-    phrases = phrases.withColumn("serial", (F.col("place") == 0) & F.col("text").rlike(SERIAL) & after.isNotNull() & figure(after).isNull() & ~after.rlike(DASH))
-    value = figure(F.col("text")).isNotNull() & ~F.col("serial")
-    phrases = stage(phrases.select("page", "row", "text", (F.col("x1") - F.length("text")).alias("x0"), "x1", "serial", value.alias("value")), "phrases")
-
-    edges = phrases.where("value").groupBy("page", "x1").agg(F.count("*").alias("n"), F.min("x0").alias("x0"))
-    step = F.when(F.col("x1") - F.lag("x1").over(Window.partitionBy("page").orderBy("x1")) > tolerance, 1).otherwise(0)
-    numbered = edges.withColumn("step", step).withColumn("col", 1 + F.sum("step").over(Window.partitionBy("page").orderBy("x1")))
-    columns = numbered.groupBy("page", "col").agg(F.min("x1").alias("least"), F.max("x1").alias("most"), F.min("x0").alias("x0"))
-    median = numbered.withColumn("before", F.sum("n").over(Window.partitionBy("page", "col").orderBy("x1")))
-    median = median.withColumn("all", F.sum("n").over(Window.partitionBy("page", "col"))).where("2 * before >= all").groupBy("page", "col").agg(F.min("x1").alias("edge"))
-    columns = columns.join(median, ["page", "col"]).withColumn("middle", (F.col("x0") + F.col("edge")) / 2)
-    first = columns.groupBy("page").agg(F.min("x0").alias("left")).join(phrases.where("value").groupBy("page").agg(F.min("row").alias("first_row")), "page")
-
-    body = phrases.join(first, "page")
-    values = body.where("value").join(columns.select("page", "col", "least", "most"), "page").where("x1 between least and most").select("page", "row", "col", "text")
+    phrases = phrases.withColumn("after", F.lead("text").over(Window.partitionBy("page", "row").orderBy("place")))
+    serial = (F.col("place") == 0) & F.col("text").rlike(SERIAL) & F.col("after").isNotNull() & figure(F.col("after")).isNull() & ~F.col("after").rlike(DASH)
+    phrases = phrases.select("page", "row", "text", (F.col("x1") - F.length("text")).alias("x0"), "x1", serial.alias("serial")).withColumn("value", figure(F.col("text")).isNotNull() & ~F.col("serial"))
+
+    # what isn't a figure runs through the same windows beside the figures
+    kind = Window.partitionBy("page", "value").orderBy("x1")
+    stepped = phrases.withColumn("step", F.when(F.col("x1") - F.lag("x1").over(kind) > tolerance, 1).otherwise(0)).withColumn("col", 1 + F.sum("step").over(kind))
+    column, whole = Window.partitionBy("page", "value", "col"), Window.partitionBy("page")
+    placed = stepped.withColumn("nth", F.row_number().over(column.orderBy("x1"))).withColumn("all", F.count("*").over(column))
+    placed = placed.withColumn("middle", (F.min("x0").over(column) + F.min(F.when(2 * F.col("nth") >= F.col("all"), F.col("x1"))).over(column)) / 2)
+    placed = placed.withColumn("left", F.min(F.when(F.col("value"), F.col("x0"))).over(whole)).withColumn("first_row", F.min(F.when(F.col("value"), F.col("row"))).over(whole))
+    placed = placed.withColumn("columns", F.collect_list(F.when(F.col("value") & (F.col("nth") == 1), F.struct("col", "middle"))).over(whole)).where("left is not null")
+
     # a phrase that ends before the columns begin is a label, wherever it stands; its words are joined in order
-    labels = body.where("not value and x1 < left").groupBy("page", "row", F.when(F.col("serial"), -1).otherwise(0).alias("col")).agg(F.array_sort(F.collect_list(F.struct("x0", "text"))).alias("p")).select("page", "row", "col", F.concat_ws(" ", "p.text").alias("text"))
-    heads = body.where("not value and row < first_row and x1 >= left").groupBy("page", "row").agg(F.collect_list(F.struct(((F.col("x0") + F.col("x1")) / 2).alias("at"), "text")).alias("heads"))
-    named = heads.join(columns.select("page", "col", "middle"), "page")
-    nearest = F.array_min(F.transform("heads", lambda h: F.struct(F.abs(h["at"] - F.col("middle")).alias("far"), h["at"].alias("at"), h["text"].alias("text"))))
-    headers = named.select("page", "row", "col", nearest["text"].alias("text"))
-    return values.unionByName(labels).unionByName(headers)
+    head = ~F.col("value") & (F.col("row") < F.col("first_row")) & (F.col("x1") >= F.col("left"))
+    kinds = placed.select("page", "row", "col", "text", "x0", "x1", "serial", "value", (~F.col("value") & (F.col("x1") < F.col("left"))).alias("label"), head.alias("head"), F.when(head, F.col("columns")).alias("columns")).where("value or label or head")
+    words = lambda of: F.array_sort(F.collect_list(F.when(of, F.struct("x0", "text"))))
+    rows = kinds.groupBy("page", "row").agg(
+        F.collect_list(F.when(F.col("value"), F.struct("col", "text"))).alias("values"), words(F.col("label") & F.col("serial")).alias("serials"), words(F.col("label") & ~F.col("serial")).alias("labels"),
+        F.collect_list(F.when(F.col("head"), F.struct(((F.col("x0") + F.col("x1")) / 2).alias("at"), "text"))).alias("heads"), F.first("columns", ignorenulls=True).alias("columns"),
+    )
+    cell = lambda col, text: F.struct(col.cast("long").alias("col"), text.alias("text"))
+    joined = lambda of, col: F.when(F.size(of) > 0, F.array(cell(F.lit(col), F.concat_ws(" ", f"{of}.text"))))
+    nearest = lambda c: F.array_min(F.transform("heads", lambda h: F.struct(F.abs(h["at"] - c["middle"]).alias("far"), h["at"].alias("at"), h["text"].alias("text"))))
+    parts = [F.transform("values", lambda v: cell(v["col"], v["text"])), joined("serials", -1), joined("labels", 0), F.transform("columns", lambda c: cell(c["col"], nearest(c)["text"]))]
+    none = F.array().cast("array<struct<col:bigint,text:string>>")
+    return rows.select("page", "row", F.explode(F.concat(*[F.coalesce(p, none) for p in parts])).alias("c")).select("page", "row", "c.*")
 
 
 def interpreted(cells: DataFrame, table: str, titles: DataFrame | None = None) -> DataFrame:
