@@ -6,8 +6,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from factspring.functions import labels
+from factspring.operators import pairing
 from factspring.operators.grouped import by_group
-from factspring.operators.pairing import best_boxes, heaviest_run, staged_pairs
+from factspring.operators.pairing import best_boxes, heaviest_run, paired_places, staged_pairs
 from factspring.sources import files
 
 
@@ -34,6 +35,28 @@ def test_boxes_are_used_once(spark):
     assert sorted((r.page, r.left, r.right) for r in best_boxes(a, b, "page").collect()) == [(1, 1, 5), (1, 2, 6)]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 8), max_size=5), min_size=3, max_size=3), st.lists(st.lists(st.integers(0, 8), max_size=5), min_size=3, max_size=3), st.lists(st.sampled_from([0.0, 0.5, 0.6, 1.0]), min_size=9, max_size=9))
+def test_places_pair_as_their_boxes_do(lefts, rights, ious):
+    lefts, rights = ({(float(i),): sorted(set(ids)) for i, ids in enumerate(side)} for side in (lefts, rights))
+    met = [(iou, a, b) for iou, (a, b) in zip(ious, itertools.product(lefts, rights)) if iou]
+    used_left, used_right, out = set(), set(), []
+    for iou, one, other in sorted(((iou, x, y) for iou, a, b in met for x in lefts[a] for y in rights[b]), key=lambda m: (-m[0], m[1], m[2])):
+        if one not in used_left and other not in used_right:
+            used_left.add(one)
+            used_right.add(other)
+            out.append((one, other, iou))
+    assert paired_places(lefts, rights, met) == out
+
+
+def test_boxes_that_lie_alike_make_no_pairs_of_all(spark, monkeypatch):
+    boxes = spark.range(3000).selectExpr("1 as page", "id", "double(0) as x0", "double(0) as y0", "double(4) as x1", "double(2) as y1")
+    other = boxes.withColumn("id", F.col("id") + 5)
+    assert sorted((r.left, r.right) for r in best_boxes(boxes, other, "page").collect()) == [(i, i + 5) for i in range(3000)]
+    monkeypatch.setattr(pairing, "by_group", lambda rows, *rest: rows)
+    assert best_boxes(boxes, other, "page").count() <= 3  # two places and their overlap
+
+
 def test_groups_with_missing_keys_stay_whole(spark):
     df = spark.createDataFrame([(1, 1), (1, 2), (None, 3), (None, 4)], "k int, v int")
     out = by_group(df, ["k"], ["v"], lambda rows: [(len(rows),)], "n int").collect()
