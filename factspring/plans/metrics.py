@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import figures, labels
 from ..operators.hierarchy import roll_up
-from ..operators.latest import top_in_group
+from ..operators.passage_search import best_of
 from ..registry import query
 from ..sources.catalog import FACTS_SQL, facts, table
 
@@ -101,14 +101,8 @@ def best_passages(docs: DataFrame, items: DataFrame, k: int = 4, k1: float = 1.2
     """``item_id, doc_id, passage, score, place``: the ``k`` passages of highest BM25 score over all distinct words of each item; a passage that recurs in a row counts once."""
     split = docs.select("doc_id", _cut(F.col("text")).alias("all"))
     split = split.select("doc_id", "all", F.explode(F.array_distinct("all")).alias("t"))
-    split = split.select("doc_id", F.array_position("all", F.col("t")).cast("int").alias("passage"), figures.words(F.col("t")).alias("w")).withColumn("len", F.size("w"))
-    stats = split.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))  # one row
-    asked = items.select("item_id", F.explode(F.array_distinct(figures.words(F.col("text")))).alias("w"))
-    held = split.select("doc_id", "passage", "len", F.explode("w").alias("w")).join(asked.select("w").distinct(), "w", "left_semi").groupBy("doc_id", "passage", "len", "w").agg(F.count("*").alias("tf"))
-    known = held.groupBy("w").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats)).select("w", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    scored = held.join(asked.join(known, "w"), "w").groupBy("item_id", "doc_id", "passage").agg(F.round(F.sum(part), 9).alias("score"))
-    return top_in_group(scored, ["item_id"], [F.col("score").desc(), F.col("doc_id"), F.col("passage")], k).select("item_id", "doc_id", "passage", "score", "place")
+    split = split.select("doc_id", F.array_position("all", F.col("t")).cast("int").alias("passage"), figures.words(F.col("t")).alias("w"))
+    return best_of(split, items, k, k1, b)
 
 
 _GROWN = "CASE WHEN l.buf = '' THEN x.buf WHEN x.buf = '' THEN l.buf ELSE x.buf || ' ' || l.buf END"

@@ -1,5 +1,7 @@
+import math
 import random
 import re
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 from factspring.ask.guard import refusal, run_read_only
 from factspring.ask.spec import translate
 from factspring.functions import figures, passages
-from factspring.operators import tables
+from factspring.operators import passage_search, tables
 from factspring.plans.metrics import best_passages
 from factspring.plans.reading import borrowed_units
 from factspring.quality.consensus import cluster
@@ -199,3 +201,39 @@ def test_streams_end_as_their_tables_do(spark, tmp_path):
     closed.awaitTermination(120)
     whole = {(r.start, r.event_type, r.n) for r in events.windowed(table).collect()}
     assert {(r.start, r.event_type, r.n) for r in spark.table("closed_windows").collect()} <= whole
+
+
+def test_passages_of_all_items_are_scored_where_they_lie(spark, monkeypatch):
+    rng = random.Random(7)
+    text = lambda n: "\n\n".join(" ".join(rng.choice("abcdefghij") * rng.randint(1, 2) for _ in range(rng.randint(1, 9))) for _ in range(n))
+    docs = [(d % 30 if d else None, text(rng.randint(1, 6))) for d in range(40)] + [(None, text(3)), (50, None), (51, "")]  # ids recur, nulls too
+    items = [(i, text(1)) for i in range(12)] + [(3, "aa bb"), (12, "...")]
+    split = lambda t: [w for w in re.split("[^a-z0-9]+", t.lower()) if w]
+    passages = [(d, ps.index(p) + 1, split(p)) for d, t in docs if t for ps in [t.split("\n\n")] for p in dict.fromkeys(ps)]
+    n, mean = len(passages), sum(len(w) for *_, w in passages) / len(passages)
+    held = Counter((d, p, len(ws), w) for d, p, ws in passages for w in ws)
+    df = Counter(w for *_, w in held)
+    words = defaultdict(set)
+    for i, t in items:
+        words[i] |= set(split(t))
+    want = []
+    for i, asked in words.items():
+        scores = Counter()
+        for (d, p, size, w), tf in sorted(held.items(), key=str):
+            if w in asked:
+                scores[d, p] += math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))
+        best = sorted(((round(-s, 9), -1 if d is None else d, p) for (d, p), s in scores.items()))[:4]
+        want += [(i, d, p, -s, place) for place, (s, d, p) in enumerate(best, 1)]
+    given = (spark.createDataFrame(docs, "doc_id long, text string").repartition(5), spark.createDataFrame(items, "item_id long, text string"))
+    key = lambda r: (r[0], r[4])
+    read = lambda: sorted(((r.item_id, -1 if r.doc_id is None else r.doc_id, r.passage, pytest.approx(r.score), r.place) for r in best_passages(*given).collect()), key=key)
+    assert sorted(want, key=key) == read()
+    monkeypatch.setattr(passage_search, "ASKED", 20)  # several blocks of items
+    monkeypatch.setattr(passage_search, "TILE", 50)
+    assert sorted(want, key=key) == read()
+
+
+def test_words_of_passages_are_not_moved(spark):
+    docs = spark.range(50).selectExpr("id as doc_id", "concat('common words of ', id) as text")
+    plan = best_passages(docs, docs.selectExpr("doc_id as item_id", "text"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # the best of each task meet by item
