@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from factspring.ask.guard import refusal, run_read_only
 from factspring.ask.spec import translate
+from factspring.catalogue import QUERIES
 from factspring.functions import figures, passages
 from factspring.operators import passage_search, tables
 from factspring.plans.metrics import best_passages
@@ -237,3 +238,8 @@ def test_words_of_passages_are_not_moved(spark):
     docs = spark.range(50).selectExpr("id as doc_id", "concat('common words of ', id) as text")
     plan = best_passages(docs, docs.selectExpr("doc_id as item_id", "text"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1  # the best of each task meet by item
+
+
+def test_passages_per_item_moves_no_words(spark):
+    plan = QUERIES["passages_per_item"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
