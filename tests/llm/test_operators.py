@@ -407,6 +407,22 @@ def test_texts_that_collide_modulo_a_power_of_two(spark):
     assert linked == links(given)
 
 
+@pytest.mark.parametrize("n, chunks", [(40, 1), (700, 31)])
+def test_chunks_are_fetched_by_claims_not_by_tasks(spark, monkeypatch, n, chunks):
+    passage = "".join(chr(97 + i * i * 7 % 23) + chr(65 + i % 19) for i in range(60))
+    texts = spark.createDataFrame([(d, passage + f" {d * 7919:050d}") for d in range(n)], "doc_id long, text string")
+    staged, put = [], suffix_dedup.stage
+    monkeypatch.setattr(suffix_dedup, "stage", lambda df, name: staged.append(put(df, name)) or staged[-1])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "48")
+    try:
+        out = suffix_dedup.dedup_passages(texts.repartition(n)).collect()
+        wanted = staged[0].where(f"kind = {suffix_dedup.WANTED}").distinct()
+        assert 0 < wanted.count() <= chunks and all(r.n_removed >= len(passage) for r in out if r.doc_id) and {r.version for r in wanted.collect()} == {0}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_products_modulo_the_prime():
     rnd = random.Random(1)
     pairs = [(rnd.randrange(bytehash.PRIME), rnd.randrange(bytehash.PRIME)) for _ in range(3000)] + [(bytehash.PRIME - 1, bytehash.PRIME - 1), (0, 5), (1, bytehash.PRIME - 1)]
