@@ -91,3 +91,21 @@ def test_nulls_and_empty_tables(spark):
     rows = spark.createDataFrame([(1, 1, "12"), (1, 2, None), (2, 3, "12"), (3, 4, "12"), (None, 5, "12"), (None, 6, "x")], "page int, row int, cells string")
     held = {r.row: r.holds for r in checks.on_their_page(rows, ["row"], ["page"], F.col("cells"), pages, "text").collect()}
     assert held == {1: True, 2: True, 3: False, 4: False, 5: False, 6: True}
+
+
+def test_twins_keep_the_best_without_sorting(spark, monkeypatch):
+    rng = random.Random(3)
+    boxes = lambda n: [(rng.randrange(3), i, float(x), float(y), float(x + rng.randint(0, 40)), float(y + rng.randint(1, 30))) for i in range(n) for x, y in [(rng.randint(-20, 60), rng.randint(-20, 40))]]
+    schema = "page int, id long, x0 double, y0 double, x1 double, y1 double"
+    a, b = boxes(150), boxes(400)
+
+    def share(p, q):
+        both = max(0, min(p[4], q[4]) - max(p[2], q[2])) * max(0, min(p[5], q[5]) - max(p[3], q[3]))
+        return both / ((p[4] - p[2]) * (p[5] - p[3]) + (q[4] - q[2]) * (q[5] - q[3]) - both) if both else 0
+
+    want = {p[1]: max(((share(p, q) * 1e9 - q[1] / 1e6, q[1]) for q in b if q[0] == p[0] and share(p, q) >= 0.5), default=(0, None))[1] for p in a}
+    planned, put = [], work.stage
+    monkeypatch.setattr(work, "stage", lambda df, name: planned.append(df._jdf.queryExecution().executedPlan().toString()) or put(df, name))
+    out = work.twins(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), ["page"], ["x0", "y0", "x1", "y1"], "id")
+    assert {r.id: r.chosen for r in out.collect()} == want and len({v for v in want.values() if v is not None}) > 20
+    assert planned and not any("SortAggregate" in p for p in planned)
