@@ -423,6 +423,12 @@ def test_chunks_are_fetched_by_claims_not_by_tasks(spark, monkeypatch, n, chunks
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_blocks_are_dealt_to_few_parts(spark, docs, monkeypatch):
+    made, split = [], suffix_dedup.split_blocks
+    monkeypatch.setattr(suffix_dedup, "split_blocks", lambda parts, *rest: made.append(parts) or split(parts, *rest))
+    assert suffix_dedup.dedup_passages(docs).count() and made == [2 * suffix_dedup.width(spark)]
+
+
 def test_products_modulo_the_prime():
     rnd = random.Random(1)
     pairs = [(rnd.randrange(bytehash.PRIME), rnd.randrange(bytehash.PRIME)) for _ in range(3000)] + [(bytehash.PRIME - 1, bytehash.PRIME - 1), (0, 5), (1, bytehash.PRIME - 1)]
